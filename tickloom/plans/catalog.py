@@ -21,8 +21,9 @@ MONEY = {"entry_price", "exit_price", "quantity", "gross_pnl", "fees", "net_pnl"
          "expectancy", "avg_win", "avg_loss", "gross_profit", "gross_loss", "total_fees", "max_drawdown_abs",
          "cashflow", "carry_paid", "carry_received", "net_carry", "total_carry_paid", "total_carry_received",
          "total_net_carry", "net_pnl_after", "net_pnl_before", "net_before_carry", "total_gross_pnl", "total_net_pnl", "cash_before",
-         "total_paid", "top_paid", "realised_pnl", "total_commission", "best", "start_balance", "current_balance",
-         "unrealised_pnl", "turnover"}
+         "total_paid", "top_paid", "best", "unrealised_pnl", "turnover", "annualized_return_pct"}
+# Sums of products of short decimals: exact to five places, so never on a rounding edge there.
+DECIMAL_SUMS = {"realised_pnl", "total_commission", "start_balance", "current_balance"}
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def finish(df: DataFrame) -> DataFrame:
         c = F.col(name)
         if kind == "double":
             # Plus 0.0 turns a rounded -0.0 into 0.0.
-            c = F.round(c, 2 if name in MONEY else 6) + F.lit(0.0)
+            c = F.round(c, 2 if name in MONEY else 5 if name in DECIMAL_SUMS else 6) + F.lit(0.0)
         elif kind == "timestamp":
             c = c.cast("timestamp_ntz")
         elif kind in ("int", "smallint", "tinyint"):
