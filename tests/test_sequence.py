@@ -13,7 +13,7 @@ from tickloom.operators.quantiles import exact_quantiles, upper_median
 def levels(spark, request):
     spark.conf.set(sq.LEVELS_CONF, request.param)
     yield request.param
-    spark.conf.unset(sq.LEVELS_CONF)
+    spark.conf.set(sq.LEVELS_CONF, "1")
 
 
 def test_ordinals_across_chunks(spark, levels):
