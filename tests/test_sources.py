@@ -87,13 +87,14 @@ def test_manifest_and_checksums(spark, tmp_path):
     d = tmp_path / "z"
     d.mkdir()
     sums = ""
-    for month, body, digest in [("2024-01", "x", None), ("2024-02", "y", "0" * 64), ("2024-03", "", None)]:
+    for month, body, digest in [("2024-01", "1,2\n", None), ("2024-02", "3,4\n", "0" * 64), ("2024-03", "open_time,open\n", None)]:
         write(d / f"AAA-{month}.csv", body)
         sums += f"{digest or hashlib.sha256(body.encode()).hexdigest()}  AAA-{month}.csv\n"
     checks = mf.read_checksums(spark, write(tmp_path / "SUMS", sums))
     exp = mf.expected_months(man, "2024-01-01", "2024-04-01")
     name = F.concat("symbol", F.lit("-"), F.date_format("month", "yyyy-MM"), F.lit(".csv"))
-    got = {str(r.month): r.status for r in mf.audit_archives(exp, mf.file_digests(spark, str(d)), checks, name).collect()}
+    got = {str(r.month): r.status for r in mf.audit_archives(exp, mf.file_digests(spark, str(d)), checks, name,
+                                                                        mf.data_rows(spark, str(d))).collect()}
     assert got == {"2024-01-01": "OK", "2024-02-01": "CHECKSUM_MISMATCH", "2024-03-01": "EMPTY_CSV",
                    "2024-04-01": "NOT_AVAILABLE"}
 

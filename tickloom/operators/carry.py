@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import finite
+from tickloom.functions.scalars import finite, ratio
 from tickloom.operators.joins import interval_join
 from tickloom.operators.metrics import profit_factor
 from tickloom.operators.sequence import BLOCK, block_no, scan, time_chunk
@@ -60,7 +60,7 @@ def equity_with_carry(equity: DataFrame, flows: DataFrame, run: list[str], inter
 
 def impact_class(net_carry: Column, capital: float, total_return_pct: Column) -> Column:
     """Carry against trading result: share of the absolute return it makes up."""
-    share = F.abs(net_carry / capital * 100 / total_return_pct)
+    share = F.abs(ratio(net_carry / capital * 100, total_return_pct))
     return (F.when(F.abs(total_return_pct) <= 0.01, "UNSTABLE RATIO — NEAR ZERO BASE PNL")
             .when(share < 0.10, "NEGLIGIBLE").when(share < 0.30, "MODERATE")
             .when(share < 0.50, "MATERIAL").otherwise("SEVERE"))
@@ -78,7 +78,7 @@ def yearly(enriched: DataFrame, keys: list[str], capital: float, size_pct: float
     t = scan(t, run, order, "_blk", {"_cum": ("net_pnl_after", "sum"), "_nth": ("_one", "sum")})
     after = F.lit(capital) + F.col("_cum")
     before = after - F.col("net_pnl_after")
-    r = F.when(F.col("_nth") > 1, (after - before) / before)
+    r = F.when(F.col("_nth") > 1, ratio(after - before, before))
     g = t.withColumn("_r", r).groupBy(*run).agg(
         F.count(F.lit(1)).alias("trade_count"),
         (F.avg("net_pnl_after") / (capital * size_pct / 100) * 100).alias("net_exp_pct"),

@@ -133,8 +133,8 @@ def position_notional(balance: Column, size_pct: Column, leverage: Column, cap:
 def margin_used(positions: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of quantity * mark / leverage per account; the entry price stands in for a mark."""
     j = positions.join(marks.select("symbol", F.col("price").alias("_mark")), "symbol", "left")
-    used = F.col("quantity") * F.coalesce(F.nullif(F.col("_mark"), F.lit(0.0)), "entry_price") / F.col("leverage")
-    return j.groupBy(*keys).agg(F.sum(used).alias("margin_used"), F.count(F.lit(1)).alias("open_positions"))
+    used = F.col("quantity") * F.coalesce(F.nullif(F.col("_mark"), F.lit(0.0)), "entry_price")
+    return j.groupBy(*keys).agg(F.sum(F.try_divide(used, F.col("leverage"))).alias("margin_used"), F.count(F.lit(1)).alias("open_positions"))
 
 
 def margin_ratio(balance: Column, used: Column) -> Column:
@@ -239,7 +239,7 @@ def screen_entries(signals: DataFrame, state: DataFrame, limits: dict[str, float
 
     lim = {k: F.lit(float(v)) for k, v in limits.items()}
     notional = position_notional(F.col("balance"), lim["size_pct"], lim["leverage"], lim["max_notional"])
-    s = s.withColumn("_qty", notional / price)
+    s = s.withColumn("_qty", F.try_divide(notional, price))
     step, tick = F.coalesce("lot_step", F.lit(0.001)), F.coalesce("tick", F.lit(0.01))
 
     def digits(c):

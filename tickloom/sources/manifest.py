@@ -25,6 +25,13 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
         F.col("length").alias("bytes"))
 
 
+def data_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows starting with a number per file; a file without any is not listed."""
+    rows = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\d"))
+    return rows.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """'<hex digest>  <file>' lines."""
     parts = F.split(F.trim("value"), r"\s+")
@@ -42,7 +49,8 @@ def audit_archives(expected: DataFrame, files: DataFrame, checksums: DataFrame,
                    row_counts: DataFrame | None = None) -> DataFrame:
     """Status per expected archive: OK, NOT_AVAILABLE, CHECKSUM_MISMATCH or EMPTY_CSV.
 
-    ``name`` gives the file name of an expected row. Only files with status OK may be used.
+    ``name`` gives the file name of an expected row; with ``row_counts`` (``data_rows``) a
+    file without data rows is empty. Only files with status OK may be used.
     """
     e = expected.withColumn("file", name)
     j = e.join(files, "file", "left").join(checksums, "file", "left")
