@@ -167,3 +167,32 @@ def signals(bars: DataFrame, strategies: list[str], keys=("symbol",), interval:
     base = [*keys, "_blk", "ord", "ts", "open", "high", "low", "close",
             "nxt_ts", "nxt_open", "nxt_high", "nxt_low"]
     return f.select(*base, F.explode(F.array(*pairs)).alias("_r")).select(*base, "_r.*")
+
+
+def python_rule(bars: DataFrame, rule: Callable, back: int, keys=("symbol",), strategy: str = "custom",
+                block: int = BLOCK) -> DataFrame:
+    """Signals of a Python rule that needs at most ``back`` earlier bars.
+
+    ``rule`` gets the bars of one block as a pandas frame in order, ``back`` bars of its past
+    included, and returns two boolean sequences (set_long, reset). It never sees a whole
+    series, so blocks of a long one run in parallel.
+    """
+    keys = list(keys)
+    cols = [*keys, "_blk", "ord", "ts", "open", "high", "low", "close", "volume"]
+    b = blocked(bars, back=back, fwd=1, block=block).select(*cols)
+    types = dict(b.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", set_long boolean, reset boolean"
+
+    def one_block(pdf):
+        pdf = pdf.sort_values("ord")
+        # The bar after the block is only there for its fill; the rule must not see it.
+        own = pdf[pdf["ord"] < (pdf["_blk"].iloc[0] + 1) * block]
+        up, down = rule(own)
+        own = own.assign(set_long=list(up), reset=list(down))
+        tail = pdf[pdf["ord"] >= (pdf["_blk"].iloc[0] + 1) * block].assign(set_long=False, reset=False)
+        return type(pdf)({c: list(own[c]) + list(tail[c]) for c in own.columns})
+
+    f = b.groupBy(*keys, "_blk").applyInPandas(one_block, schema)
+    w = block_window(keys)
+    f = f.withColumns({f"nxt_{c}": F.lead(c).over(w) for c in ("ts", "open", "high", "low")})
+    return owned(f, block).withColumn("strategy", F.lit(strategy)).drop("volume")

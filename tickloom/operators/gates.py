@@ -133,3 +133,8 @@ def best_by(dimension: DataFrame, keys: list[str], name: str, value: str, highes
     """Name of the best row as an aggregate; NULL values never win."""
     v = F.when(F.col(value).isNotNull(), F.col(value))
     return (F.max_by if highest else F.min_by)(name, v)
+
+
+def best_candidate(passed: DataFrame, order: list[str]) -> DataFrame:
+    """The one row that is highest in ``order`` (later columns break ties)."""
+    return passed.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(1)

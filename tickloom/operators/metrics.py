@@ -179,3 +179,8 @@ def year_concentration(years: DataFrame, keys: list[str], pnl: str = "net_pnl",
     share = ratio(F.col("_b"), F.col("_s"))
     return out.select(*keys, F.col("_b").alias("best"), share.alias("concentration"),
                       F.coalesce(share > limit, F.lit(False)).alias("concentrated"))
+
+
+def full_year(bars: Column, least: int = 2100) -> Column:
+    """A calendar year counts as complete from this many (4-hour) bars on."""
+    return bars >= least
