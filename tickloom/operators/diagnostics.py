@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
 from tickloom.functions.scalars import ratio
+from tickloom.operators.joins import lookup
 from tickloom.operators.metrics import profit_factor
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.sequence import BLOCK, block_window, blocked, owned
@@ -214,7 +215,7 @@ def with_regime(trades: DataFrame, keys: list[str]) -> DataFrame:
     ``keys`` empty: one set of limits over all trades.
     """
     limits = exact_quantiles(trades, keys, "atr_pct", {"atr_q1": 0.25, "atr_q3": 0.75})
-    t = trades.join(limits, keys, "left") if keys else trades.crossJoin(F.broadcast(limits))
+    t = lookup(trades, limits, keys) if keys else trades.crossJoin(F.broadcast(limits))
     atr = F.col("atr_pct")
     above = F.coalesce(F.col("entry_signal_close") > F.col("ema50"), F.lit(False))
     up = F.coalesce(F.col("ema50_slope_sign") == 1, F.lit(False))

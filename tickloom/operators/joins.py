@@ -77,6 +77,21 @@ def interval_join(spans: DataFrame, events: DataFrame, on: list[str], start: str
     return s.join(e, [*on, "_bucket"]).filter(inside).drop("_bucket")
 
 
+LOOKUP_SALTS = 16
+
+
+def lookup(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", spread: list[str] | None = None
+           ) -> DataFrame:
+    """Join with a table of one row per key, hot keys of ``df`` spread over several tasks.
+
+    The table is copied per salt; it must be far smaller than ``df``. ``spread`` names the
+    columns that tell rows of one key apart (default: all).
+    """
+    salt = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(LOOKUP_SALTS)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
+    return df.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def keep_first(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """One row per ``by``: the one with the lowest ``order``; combined before the exchange."""
     rest = [c for c in df.columns if c not in by]

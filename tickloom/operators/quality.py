@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import epoch_millis, finite, half_up
-from tickloom.operators.joins import keep_first
+from tickloom.operators.joins import keep_first, lookup
 from tickloom.operators.quantiles import upper_median
 from tickloom.operators.sequence import BLOCK, block_no, scan
 
@@ -11,7 +11,6 @@ FIELDS = ("open", "high", "low", "close", "volume")
 # Fixed values.
 GAP_FACTOR = 5
 HOLDOUT_START = "2026-01-01 00:00:00"
-DUP_SALTS = 16
 
 
 class DataError(ValueError):
@@ -37,9 +36,7 @@ def row_issues(bars: DataFrame, keys=("symbol",), ingest: str = "ingest_id") ->
     firsts = d.filter("ts is not null").groupBy(*keys, "ts").agg(
         F.min(ingest).alias("_first"), F.count(F.lit(1)).alias("_same")).filter("_same > 1").drop("_same")
     # Repeats of one time may be many: spread them, and copy the few firsts.
-    firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(DUP_SALTS - 1))))
-    d = d.withColumn("_salt", F.pmod(F.col(ingest), F.lit(DUP_SALTS)).cast("int"))
-    d = d.join(firsts, [*keys, "ts", "_salt"], "left")
+    d = lookup(d, firsts, [*keys, "ts"], spread=[ingest])
 
     def issue(cond: Column, severity: str, kind: str, message: str, field: str | None = None):
         return F.when(cond, F.struct(
@@ -74,18 +71,14 @@ def deltas(bars: DataFrame, keys=("symbol",), ingest: str = "ingest_id") -> Data
 def gap_warnings(bars: DataFrame, keys=("symbol",), ingest: str = "ingest_id") -> DataFrame:
     """Rows later than their predecessor by more than five (upper) median steps.
 
-    A key with fewer than three rows has no median and no warnings. All keys keep a row in
-    the second frame ``gap_summary`` builds.
+    A key with fewer than three rows has no median and no warnings.
     """
     keys = list(keys)
     d = deltas(bars, keys, ingest)
     med = upper_median(d, keys, "delta_ms", "median_interval_ms")
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows >= 3").drop("_rows")
     limits = med.join(n, keys)
-    # One row per key; a hot key is spread by salting its one limit.
-    limits = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(DUP_SALTS - 1))))
-    d = d.withColumn("_salt", F.pmod(F.col(ingest), F.lit(DUP_SALTS)).cast("int"))
-    return d.join(limits, [*keys, "_salt"]).filter(
+    return lookup(d, limits, keys, "inner", [ingest]).filter(
         F.col("delta_ms") > F.col("median_interval_ms") * GAP_FACTOR).select(
         *keys, ingest, "ts", "delta_ms", F.col("median_interval_ms").cast("bigint").alias("median_interval_ms"))
 

@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.joins import keep_last
+from tickloom.operators.joins import keep_last, lookup
 
 # Order types and states.
 STOP_TYPES = ["STOP_MARKET", "STOP", "STOP_LOSS_LIMIT"]
@@ -21,16 +21,17 @@ def protective_orders(positions: DataFrame, orders: DataFrame, arrival: str = "a
     """
     closing = F.when(F.col("side") == "SHORT", "BUY").otherwise("SELL")
     p = positions.select("symbol", closing.alias("_side"))
-    o = orders.filter(F.col("status").isNull() | F.col("status").isin(ACTIVE)).alias("o")
-    o = o.join(p, "symbol").filter(F.col("side").isNull() | (F.col("side") == F.col("_side")))
     stop = F.col("type").isin(STOP_TYPES)
     gain = F.col("type").isin(PROFIT_TYPES)
-    value = F.struct("order_id", F.coalesce(
+    order = F.struct(F.col(arrival).alias("a"), "order_id", F.coalesce(
         F.col("stop_price").cast("string").try_cast("double"),
         F.col("price").cast("string").try_cast("double"), F.lit(0.0)).alias("p"))
-    first = o.groupBy("symbol").agg(
-        F.min_by(value, F.when(stop, F.col(arrival))).alias("_s"),
-        F.min_by(value, F.when(gain, F.col(arrival))).alias("_t"))
+    # First per symbol and side before the join, so that a symbol with most of the orders
+    # reaches it as a few rows.
+    o = orders.filter(F.col("status").isNull() | F.col("status").isin(ACTIVE)).groupBy("symbol", "side").agg(
+        F.min(F.when(stop, order)).alias("_s"), F.min(F.when(gain, order)).alias("_t"))
+    o = o.join(p, "symbol").filter(F.col("side").isNull() | (F.col("side") == F.col("_side")))
+    first = o.groupBy("symbol").agg(F.min("_s").alias("_s"), F.min("_t").alias("_t"))
 
     def price(c):
         return F.when(F.col(c)["p"] > 0, F.col(c)["p"])
@@ -132,9 +133,14 @@ def position_notional(balance: Column, size_pct: Column, leverage: Column, cap:
 
 def margin_used(positions: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of quantity * mark / leverage per account; the entry price stands in for a mark."""
-    j = positions.join(marks.select("symbol", F.col("price").alias("_mark")), "symbol", "left")
-    used = F.col("quantity") * F.coalesce(F.nullif(F.col("_mark"), F.lit(0.0)), "entry_price")
-    return j.groupBy(*keys).agg(F.sum(F.try_divide(used, F.col("leverage"))).alias("margin_used"), F.count(F.lit(1)).alias("open_positions"))
+    q = F.try_divide(F.col("quantity"), F.col("leverage"))
+    # One row per account and symbol before the join with the marks.
+    p = positions.groupBy(*keys, "symbol").agg(
+        F.sum(q).alias("_q"), F.sum(q * F.col("entry_price")).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    j = p.join(marks.select("symbol", F.col("price").alias("_mark")), "symbol", "left")
+    mark = F.nullif(F.col("_mark"), F.lit(0.0))
+    used = F.when(mark.isNotNull(), F.col("_q") * mark).otherwise(F.col("_e"))
+    return j.groupBy(*keys).agg(F.sum(used).alias("margin_used"), F.sum("_n").alias("open_positions"))
 
 
 def margin_ratio(balance: Column, used: Column) -> Column:
@@ -143,7 +149,7 @@ def margin_ratio(balance: Column, used: Column) -> Column:
 
 def unrealised(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Side-aware open PnL at the last price, at the entry price where there is none."""
-    j = positions.join(prices.select("symbol", F.col("price").alias("last_price")), "symbol", "left")
+    j = lookup(positions, prices.select("symbol", F.col("price").alias("last_price")), ["symbol"])
     move = F.coalesce("last_price", "entry_price") - F.col("entry_price")
     return j.withColumn("unrealised_pnl", F.when(F.col("side") == "SHORT", -move).otherwise(move) * F.col("quantity"))
 

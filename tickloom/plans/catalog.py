@@ -100,6 +100,12 @@ def ext_trades(spark, sf):
 EXT_ORDER = ["entry_time", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "quantity"]
 
 
+def ext_chunk():
+    """Block number along EXT_ORDER: the day, then ranges of a million order keys."""
+    keys = F.least((F.col("l_orderkey") / 1_000_000).cast("bigint"), F.lit((1 << 20) - 1))
+    return time_chunk("entry_time", DAY) * (1 << 20) + keys
+
+
 def dirty_bars(spark, sf):
     """Bars with faults put in by bar number: missing and negative values, repeats, disorder.
 
@@ -520,10 +526,10 @@ def winner_per_dimension(spark, sf):
 
 @query
 def asof_backward(spark, sf):
-    """Last 15-minute bar opened at or before every tick."""
+    """Last hourly bar opened at or before every tick; ticks are dense, so blocks are short."""
     t = derive.ticks(spark, sf)
     b = derive.plain_bars(spark, sf, "1h").select("symbol", F.col("ts").alias("open_time"), "open")
-    j = joins.asof_join(t, b, ["symbol"], "ts", "open_time", ["open"], joins.seconds_block(DAY))
+    j = joins.asof_join(t, b, ["symbol"], "ts", "open_time", ["open"], joins.seconds_block(60))
     return j.select("symbol", "seq", F.col("match.at").alias("open_time"), F.col("match.open").alias("open"))
 
 
@@ -649,7 +655,7 @@ def trade_stats(spark, sf):
     """Trade metrics with losing streak over the external ledger."""
     t = ext_trades(spark, sf)
     m = mt.trade_metrics(t, ["symbol", "strategy"])
-    s = mt.losing_streak(t, ["symbol", "strategy"], EXT_ORDER, time_chunk("entry_time", DAY * 30))
+    s = mt.losing_streak(t, ["symbol", "strategy"], EXT_ORDER, ext_chunk())
     return m.join(s, ["symbol", "strategy"])
 
 
@@ -971,7 +977,7 @@ def loss_trips(spark, sf):
     """Batch form of the loss breaker: every fifth loss of an unbroken row of losses."""
     t = ext_trades(spark, sf)
     lost = F.col("net_pnl") < 0
-    t = t.withColumns({"_c": block_no(time_chunk("entry_time", DAY * 30)), "_win": (~lost).cast("bigint"),
+    t = t.withColumns({"_c": block_no(ext_chunk()), "_win": (~lost).cast("bigint"),
                        "_lost": lost.cast("bigint")})
     t = scan(t, ["symbol"], EXT_ORDER, "_c", {"_isle": ("_win", "sum"), "_losses": ("_lost", "sum")})
     # Losses before the row of losses began: the running count at its winning head.

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
-    set_scan_levels(spark, stored_bytes(spark, path))
+    set_scan_levels(spark, stored_bytes(spark, sf_dir))
     ntz = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
