@@ -41,7 +41,7 @@ WITH RECURSIVE words AS (
     FROM documents),
 sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-        ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
     FROM words),
 grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 links AS (
