@@ -2,10 +2,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, minhash, packing, quality, secret_scan
+from tickloom.llm import chat, decontaminate, language, minhash, packing, quality, secret_scan, substring, vectors, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -18,6 +18,68 @@ def remainder(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+# ---------------------------------------------------------------- op1
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def chains(conversations: DataFrame) -> DataFrame:
+    """Conversations as reply trees: each row answers the one before it by (turn, role, text)."""
+    order = Window.partitionBy("tree_id").orderBy("turn", "role", "text")
+    at = conversations.select(F.col("conv_id").alias("tree_id"), "turn", F.coalesce("role", F.lit("")).alias("role"),
+                              F.coalesce("text", F.lit("")).alias("text")).withColumn("msg_id", F.row_number().over(order))
+    return at.select("tree_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text",
+                     F.lit(0.0).alias("score"))
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    out = chat.conversations(chains(rows), best=1)
+    out = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return out.select(F.col("tree_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                      F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+                      F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP1_SQL = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+safe AS (
+    SELECT *, replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '<\/turn>') AS r,
+           replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '<\/turn>') AS t FROM said)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(r) + length(t) + 14)::BIGINT AS formatted_chars
+FROM safe GROUP BY conv_id
+"""
+
+
+# ---------------------------------------------------------------- op2
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, listing = warc.write_archives(table(spark, sf_dir, "pages"))
+    found = warc.read_archives(folder, listing)
+    return found.where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = r"""
+WITH said AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first, sha1(html) AS hex FROM said)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 # ---------------------------------------------------------------- op3
 def packed(docs: DataFrame) -> DataFrame:
     crc = F.crc32("ids").alias("ids_crc32")
@@ -58,11 +120,49 @@ FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c
 """
 
 
+# ---------------------------------------------------------------- op5
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(4) == 2
+    model = language.fit(docs.where("lang IS NOT NULL").where(~held_out))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+# ---------------------------------------------------------------- op6
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"), length=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),
+firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM firsts WHERE first < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (
+    SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS text, count(*) AS n
+    FROM placed p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
 # ---------------------------------------------------------------- op7
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+# ---------------------------------------------------------------- op8
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 # ---------------------------------------------------------------- op9
 def quality_model(docs: DataFrame, labels: DataFrame, held_out: bool) -> quality.Model:
     labels = labels.select("doc_id", F.col("quality").alias("label"))
@@ -91,5 +191,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_near_duplicates, op7_decontamination, op9_quality, op10_secrets)}
-ORACLE = {"op4_near_duplicates": OP4_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_chat, op2_warc, op3_packing, op4_near_duplicates, op5_language, op6_substring_dedup, op7_decontamination,
+    op8_neighbours, op9_quality, op10_secrets)}
+ORACLE = {"op1_chat": OP1_SQL, "op2_warc": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op6_substring_dedup": OP6_SQL}
