@@ -8,8 +8,12 @@ with few documents are compared exhaustively; larger ones branch on.
 
 Documents with equal sets are one member. Large groups of near copies stay linear: every node first links its
 members to its smallest one, and once these links are confirmed, nodes whose members all belong to one
-component are done. What is left to compare in a node are members of different components. Candidates are
-filtered by one-bit sketches and confirmed on full sets.
+component are done. Elsewhere the members outside the node's main component are compared with all others; a
+node is small if it has few of them. Candidates are filtered by one-bit sketches and confirmed on full sets.
+
+An exact bound spares most confirmations of copies edited too much: sets A and B differ by at least the shingles
+that only A or only B has among the first links' documents (if both are among them), and by the difference of
+how many shingles of the node's smallest member A and B lack.
 """
 from __future__ import annotations
 
@@ -29,8 +33,8 @@ BRANCHES = 20
 #: Expected picks at a node: 1 / similarity keeps one shared path for a pair at the threshold.
 PICKS = 1.25
 NODE_LIMIT = 128
-#: Levels after which what still is in a large node is compared in tiles instead.
-MAX_LEVELS = 8
+#: Levels after which nodes are compared whatever their size.
+MAX_LEVELS = 4
 #: Of 128 sketch bits a pair of similarity 0.8 differs in 12.8 on average, deviation 3.4.
 SKETCH_BITS = 27
 
@@ -117,9 +121,10 @@ def _paths(levels: int):
                 for _ in range(levels):
                     up, path = branch(path, sigs[row])
                     row = row[up]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(path.view(np.int64)), pa.array(rep[lo:lo + n][row]), pa.array(s0[lo:lo + n][row]),
-                     pa.array(s1[lo:lo + n][row])], names=["path", "rep", "s0", "s1"])
+                out = {"path": path.view(np.int64), "rep": rep[lo:lo + n][row], "s0": s0[lo:lo + n][row], "s1": s1[lo:lo + n][row]}
+                if named:
+                    out["top"] = batch.column(batch.schema.get_field_index("top")).to_numpy()[lo:lo + n][row]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], names=list(out))
     return run
 
 
@@ -136,16 +141,32 @@ def _close(a0, a1, b0, b1) -> Column:
     return F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) <= SKETCH_BITS
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |A and B| >= percent * |A or B| on the full sets."""
-    pairs = stored(pairs.distinct())
+def full_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, members): the full sets of the documents of pairs (a, b)."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    text = keyed_text(docs).join(ids, "doc_id")
-    sets = stored(text.mapInArrow(_sets(k), "doc_id long, members array<long>"))
+    return stored(keyed_text(docs).join(ids, "doc_id").mapInArrow(_sets(k), "doc_id long, members array<long>"))
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, shared): sizes and common shingles of the full sets of pairs (a, b)."""
     both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b"))
-    shared = F.size(F.array_intersect("ma", "mb"))
-    return stored(both.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b").distinct())
+    return stored(both.select("a", "b", F.size("ma").alias("na"), F.size("mb").alias("nb"),
+                              F.size(F.array_intersect("ma", "mb")).alias("shared")))
+
+
+def _similar(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * |A and B| >= percent * |A or B|."""
+    return pairs.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b").distinct()
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, size, own): the sizes of the sets, and how many shingles of each no other set has."""
+    held = sets.select("doc_id", F.explode("members").alias("gram"))
+    single = (held.groupBy("gram").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
+              .where("rep = other").groupBy("rep").agg(F.count("*").alias("own")))
+    sizes = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.size("members")).alias("size"))
+    return stored(sizes.join(single, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -170,32 +191,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = (spots.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("top"),
                                        F.min_by("s0", "rep").alias("t0"), F.min_by("s1", "rep").alias("t1"))
              .where("n > 1"))
-    stars = spots.join(nodes, "path").where((F.col("rep") != F.col("top")) & _close("s0", "s1", "t0", "t1"))
-    links = confirmed(docs, stars.select(F.col("top").alias("a"), F.col("rep").alias("b")), shingle, percent)
+    rows = spots.join(nodes, "path")
+    stars = rows.where((F.col("rep") != F.col("top")) & _close("s0", "s1", "t0", "t1"))
+    pairs = stored(stars.select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct())
+    sets = full_sets(docs, pairs, shingle)
+    tried = measured(pairs, sets)
+    own = own_shingles(sets)
+    lacks = tried.select(F.col("a").alias("top"), F.col("b").alias("rep"), (F.col("na") - F.col("shared")).alias("lack"))
+    links = _similar(tried, percent)
     labels = components(links)
 
-    level, rows = 2, spots
+    level, rows = 2, rows.select("path", "rep", "s0", "s1", "top")
     while True:
         rows = (rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
                 .withColumn("component", F.coalesce("component", "rep")))
-        nodes = (rows.groupBy("path").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
-                                          F.max("component").alias("hi")).where("lo < hi").select("path", "n"))
+        kinds = rows.groupBy("path", "component").agg(F.count("*").alias("n"))
+        nodes = (kinds.groupBy("path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("main"),
+                                           F.count("*").alias("kinds"))
+                 .where("kinds > 1").select("path", (F.col("n") - F.col("most")).alias("apart"), "main"))
         rows = stored(rows.join(nodes, "path"))
-        small = rows.where(F.col("n") <= NODE_LIMIT).withColumn("tile", F.lit(0))
-        large = rows.where(F.col("n") > NODE_LIMIT)
         last = level >= MAX_LEVELS
-        pairs = _compare(small, ["path"])
-        if last:
-            pairs = pairs.union(_tiles(large))
-        found = confirmed(docs, pairs, shingle, percent)
+        near = rows if last else rows.where(F.col("apart") <= NODE_LIMIT)
+        near = near.join(own, "rep", "left").join(lacks, ["top", "rep"], "left")
+        pairs = stored(_compare(near, percent).distinct())
+        found = _similar(measured(pairs, full_sets(docs, pairs, shingle)), percent)
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
+        large = rows.where(F.col("apart") > NODE_LIMIT)
         if last or large.isEmpty():
             break
         level += 2
-        rows = stored(large.select("path", "rep").join(members, "rep").select("path", "rep", "s0", "s1", "sig")
-                      .mapInArrow(_paths(2), "path long, rep long, s0 long, s1 long"))
+        rows = stored(large.select("path", "rep", "top").join(members, "rep").select("path", "rep", "s0", "s1", "sig", "top")
+                      .mapInArrow(_paths(2), "path long, rep long, s0 long, s1 long, top long"))
 
     whole = names.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("found")).groupBy("doc_id").agg(F.min("found").alias("found"))
@@ -205,23 +233,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _compare(rows: DataFrame, key: list[str]) -> DataFrame:
-    """All pairs of different components with close sketches inside each small node."""
-    a = rows.select(*key, F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("s0").alias("a0"),
-                    F.col("s1").alias("a1"))
-    b = rows.select(*key, F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("s0").alias("b0"),
-                    F.col("s1").alias("b1"))
-    on = F.lit(True)
-    for c in key:
-        on = on & (a[c] == b[c])
-    return a.join(b, on & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                  & _close("a0", "a1", "b0", "b1")).select("a", "b")
-
-
-def _tiles(rows: DataFrame) -> DataFrame:
-    """The same for nodes that no longer shrink, in tiles of bounded size; nothing is dropped."""
-    parts = F.ceil(F.col("n") / NODE_LIMIT).cast("int")
-    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    cut = (rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-           .withColumn("t0", F.least("own", "other")).withColumn("t1", F.greatest("own", "other")))
-    return _compare(cut, ["path", "t0", "t1"]).distinct()
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs with close sketches of a member outside its node's main component and any member of another component.
+
+    The bound: similar sets differ by at most (100 - percent) / (100 + percent) of the sum of their sizes.
+    """
+    names = {"rep": "", "component": "c", "s0": "s0", "s1": "s1", "size": "n", "own": "own", "lack": "lack"}
+    a = rows.where("component <> main").select("path", *(F.col(c).alias("a" + x) for c, x in names.items()))
+    b = rows.select("path", "main", *(F.col(c).alias("b" + x) for c, x in names.items()))
+    once = (F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))
+    apart = F.col("aown") + F.col("bown") + F.coalesce(F.abs(F.col("alack") - F.col("black")), F.lit(0))
+    able = F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn")), F.lit(True))
+    pairs = a.join(b, "path").where(once & (F.col("ac") != F.col("bc")) & _close("as0", "as1", "bs0", "bs1") & able)
+    return pairs.select("a", "b")
