@@ -5,7 +5,8 @@ runs choose the same anchor at the same place, so no repeat of the wanted length
 anchors that two or more of them hold. Around each such seed the match is extended both ways over the runs that chose it; a run
 matches if its words start in an earlier document too, and overlapping matches join to maximal repeats.
 
-Extension does not go pair by pair: the runs at the seeds are grouped by content and carry the smallest
+Documents with equal texts are settled first: all but the one with the smallest id lose every word that lies in
+a run. Only that one is searched. Extension does not go pair by pair: the runs at the seeds are grouped by content and carry the smallest
 document id of their group. So thousands of copies of a passage cost as many rows as they have words, and both
 groupings are aggregates and joins whose hot keys Spark can combine early or split.
 """
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import U64, gram_hashes, keyed_text, split_words, text_slices
+from tickloom.llm.shared import U64, gram_hashes, keyed_text, split_words, stored, text_slices
 
 ANCHOR_WORDS = 5
 
@@ -77,16 +78,19 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 def _remove(length: int):
     def run(batches):
         for batch in batches:
-            starts = batch.column(2)
+            starts, copy = batch.column(2), batch.column(3)
             for lo, hi, data, bounds in text_slices(batch.column(1)):
                 words = split_words(data, bounds)
                 count = np.diff(words.first)
                 total, gone, kept, spans = [], [], [], []
                 for i in range(hi - lo):
                     n, own = int(count[i]), starts[lo + i].as_py() or []
+                    if copy[lo + i].as_py():
+                        own = range(n - length + 1)
                     depth = np.zeros(n + 1, np.int32)
-                    np.add.at(depth, np.array(own, int), 1)
-                    np.add.at(depth, np.array(own, int) + length, -1)
+                    own = np.array(own, int)
+                    np.add.at(depth, own, 1)
+                    np.add.at(depth, own + length, -1)
                     stay = np.cumsum(depth[:n]) == 0
                     at = words.first[i] + np.flatnonzero(stay)
                     raw = data.tobytes() if hi - lo == 1 else None
@@ -115,12 +119,21 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     if length <= ANCHOR_WORDS:
         raise ValueError(f"length must be over {ANCHOR_WORDS}")
     text = keyed_text(docs)
-    anchors = text.where("doc_id IS NOT NULL").mapInArrow(_anchors(length), "anchor long, doc_id long")
+    known = text.where("doc_id IS NOT NULL")  # one exchange by doc_id serves the three joins below
+    digest = known.select("doc_id", F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"))
+    least = digest.groupBy("h0", "h1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = stored(digest.join(least, ["h0", "h1"]).where("doc_id > least").select("doc_id").distinct())
+    anchors = known.join(copies, "doc_id", "left_anti").mapInArrow(_anchors(length), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     seeds = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    runs = text.join(seeds, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
+    runs = known.join(seeds, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
         _runs(length), "run long, doc_id long, start int")
     first = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
     gone = runs.join(first, "run").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    return text.join(gone, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(
+    gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.select(
+        "doc_id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    gone = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("copy").alias("copy"))
+    marked = known.join(gone, "doc_id", "left").select("doc_id", "text", "starts", "copy").union(
+        text.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<int>"), F.lit(False)))
+    return marked.mapInArrow(
         _remove(length), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
