@@ -11,9 +11,10 @@ members to its smallest one, and once these links are confirmed, nodes whose mem
 component are done. Elsewhere the members outside the node's main component are compared with all others; a
 node is small if it has few of them. Candidates are filtered by one-bit sketches and confirmed on full sets.
 
-An exact bound spares most confirmations of copies edited too much: sets A and B differ by at least the shingles
-that only A or only B has among the first links' documents (if both are among them), and by the difference of
-how many shingles of the node's smallest member A and B lack.
+Groups of copies edited too much for a link would still give many close pairs. Documents close to a common first member
+therefore meet once more, as differences from it: the size of the difference of two differences is that of the sets. Blocks of
+members outside the group's main component are held against blocks of all its members, exactly, and only
+links leave a task.
 """
 from __future__ import annotations
 
@@ -35,6 +36,8 @@ PICKS = 1.25
 NODE_LIMIT = 128
 #: Levels after which nodes are compared whatever their size.
 MAX_LEVELS = 4
+#: Blocks of a group compared in one task, and shingles held at once there.
+APART_ROWS, GROUP_ROWS, COLUMNS = 1024, 2048, 2048
 #: Of 128 sketch bits a pair of similarity 0.8 differs in 12.8 on average, deviation 3.4.
 SKETCH_BITS = 27
 
@@ -122,8 +125,6 @@ def _paths(levels: int):
                     up, path = branch(path, sigs[row])
                     row = row[up]
                 out = {"path": path.view(np.int64), "rep": rep[lo:lo + n][row], "s0": s0[lo:lo + n][row], "s1": s1[lo:lo + n][row]}
-                if named:
-                    out["top"] = batch.column(batch.schema.get_field_index("top")).to_numpy()[lo:lo + n][row]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], names=list(out))
     return run
 
@@ -160,13 +161,60 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b").distinct()
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """(rep, size, own): the sizes of the sets, and how many shingles of each no other set has."""
-    held = sets.select("doc_id", F.explode("members").alias("gram"))
-    single = (held.groupBy("gram").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
-              .where("rep = other").groupBy("rep").agg(F.count("*").alias("own")))
-    sizes = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.size("members")).alias("size"))
-    return stored(sizes.join(single, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")))
+def _block_links(percent: int):
+    """Links between a block of apart members and a block of members, at most one for each component met."""
+    def run(apart: pa.Table, rows: pa.Table) -> pa.Table:
+        a, b = [], []
+        if apart.num_rows and rows.num_rows:
+            flat = [t.column("diff").combine_chunks() for t in (apart, rows)]
+            sizes = [np.diff(f.offsets.to_numpy()) for f in flat]
+            values = [f.flatten().to_numpy() for f in flat]
+            of = [np.repeat(np.arange(len(n)), n) for n in sizes]
+            both = np.intersect1d(*values)
+            at = [np.searchsorted(both, v).clip(0, max(0, len(both) - 1)) for v in values]
+            hit = [both[p] == v if len(both) else np.zeros(len(v), bool) for p, v in zip(at, values, strict=True)]
+            shared = np.zeros((apart.num_rows, rows.num_rows), np.float32)
+            for lo in range(0, len(both), COLUMNS):
+                mats = []
+                for n, p, h, o in zip(sizes, at, hit, of, strict=True):
+                    part = h & (p >= lo) & (p < lo + COLUMNS)
+                    m = np.zeros((len(n), min(COLUMNS, len(both) - lo)), np.float32)
+                    m[o[part], p[part] - lo] = 1
+                    mats.append(m)
+                shared += mats[0] @ mats[1].T
+            (ra, ca, na), (rb, cb, nb) = ([t.column(c).to_numpy() for c in ("rep", "component", "size")] for t in (apart, rows))
+            differ = sizes[0][:, None] + sizes[1][None] - 2 * shared
+            good = ((100 + percent) * differ <= (100 - percent) * (na[:, None] + nb[None])) & (ca[:, None] != cb[None])
+            for i in np.flatnonzero(good.any(axis=1)):
+                j = np.flatnonzero(good[i])
+                j = j[np.unique(cb[j], return_index=True)[1]]
+                a.append(np.full(len(j), ra[i]))
+                b.append(rb[j])
+        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": cat(a), "b": cat(b)})
+    return run
+
+
+def group_links(homes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of the documents (home, rep) that share a home."""
+    diff = (homes.join(sets.select(F.col("doc_id").alias("rep"), F.col("members").alias("own")).dropDuplicates(["rep"]), "rep")
+            .join(sets.select(F.col("doc_id").alias("home"), F.col("members").alias("base")).dropDuplicates(["home"]), "home"))
+    rows = (diff.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "home", "rep", F.coalesce("component", "rep").alias("component"), F.size("own").cast("long").alias("size"),
+        F.concat(F.array_except("own", "base"), F.array_except("base", "own")).alias("diff")))
+    rows = stored(rows)
+    groups = (rows.groupBy("home", "component").agg(F.count("*").alias("n")).groupBy("home")
+              .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("main")).where("n > most")
+              .select("home", "main", F.ceil((F.col("n") - F.col("most")) / APART_ROWS).cast("int").alias("na"),
+                      F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("nb")))
+    rows = rows.join(groups, "home")
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = ["home", "i", "j", "rep", "component", "size", "diff"]
+    apart = rows.where("component <> main").withColumn("i", place("na")).withColumn("j", every("nb")).select(*data)
+    whole = rows.withColumn("j", place("nb")).withColumn("i", every("na")).select(*data)
+    key = ["home", "i", "j"]
+    return stored(apart.groupBy(key).cogroup(whole.groupBy(key)).applyInArrow(_block_links(percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -196,12 +244,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = stored(stars.select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct())
     sets = full_sets(docs, pairs, shingle)
     tried = measured(pairs, sets)
-    own = own_shingles(sets)
-    lacks = tried.select(F.col("a").alias("top"), F.col("b").alias("rep"), (F.col("na") - F.col("shared")).alias("lack"))
     links = _similar(tried, percent)
     labels = components(links)
+    homes = stored(pairs.select("a", "b").union(pairs.select("a", F.col("a").alias("b")).distinct())
+                   .groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("home")))
+    links = links.union(group_links(homes, sets, labels, percent))
+    labels = components(links)
 
-    level, rows = 2, rows.select("path", "rep", "s0", "s1", "top")
+    level, rows = 2, rows.select("path", "rep", "s0", "s1").join(homes, "rep", "left")
     while True:
         rows = (rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
                 .withColumn("component", F.coalesce("component", "rep")))
@@ -212,8 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         rows = stored(rows.join(nodes, "path"))
         last = level >= MAX_LEVELS
         near = rows if last else rows.where(F.col("apart") <= NODE_LIMIT)
-        near = near.join(own, "rep", "left").join(lacks, ["top", "rep"], "left")
-        pairs = stored(_compare(near, percent).distinct())
+        pairs = stored(_compare(near).distinct())
         found = _similar(measured(pairs, full_sets(docs, pairs, shingle)), percent)
         if not found.isEmpty():
             links = links.union(found)
@@ -222,8 +271,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         if last or large.isEmpty():
             break
         level += 2
-        rows = stored(large.select("path", "rep", "top").join(members, "rep").select("path", "rep", "s0", "s1", "sig", "top")
-                      .mapInArrow(_paths(2), "path long, rep long, s0 long, s1 long, top long"))
+        rows = stored(large.select("path", "rep").join(members, "rep").select("path", "rep", "s0", "s1", "sig")
+                      .mapInArrow(_paths(2), "path long, rep long, s0 long, s1 long")).join(homes, "rep", "left")
 
     whole = names.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("found")).groupBy("doc_id").agg(F.min("found").alias("found"))
@@ -233,16 +282,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _compare(rows: DataFrame, percent: int) -> DataFrame:
+def _compare(rows: DataFrame) -> DataFrame:
     """Pairs with close sketches of a member outside its node's main component and any member of another component.
 
-    The bound: similar sets differ by at most (100 - percent) / (100 + percent) of the sum of their sizes.
+    Members of one home have met already.
     """
-    names = {"rep": "", "component": "c", "s0": "s0", "s1": "s1", "size": "n", "own": "own", "lack": "lack"}
+    names = {"rep": "", "component": "c", "s0": "s0", "s1": "s1", "home": "h"}
     a = rows.where("component <> main").select("path", *(F.col(c).alias("a" + x) for c, x in names.items()))
     b = rows.select("path", "main", *(F.col(c).alias("b" + x) for c, x in names.items()))
     once = (F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))
-    apart = F.col("aown") + F.col("bown") + F.coalesce(F.abs(F.col("alack") - F.col("black")), F.lit(0))
-    able = F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn")), F.lit(True))
-    pairs = a.join(b, "path").where(once & (F.col("ac") != F.col("bc")) & _close("as0", "as1", "bs0", "bs1") & able)
+    new = F.coalesce(F.col("ah") != F.col("bh"), F.lit(True))
+    pairs = a.join(b, "path").where(once & (F.col("ac") != F.col("bc")) & new & _close("as0", "as1", "bs0", "bs1"))
     return pairs.select("a", "b")

@@ -45,10 +45,9 @@ def _anchors(length: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, _, _, runs, least, at in _slices(batch.column(1), length):
-                doc = np.repeat(np.arange(hi - lo), np.diff(at))
-                fresh = np.ones(len(runs), bool)
-                fresh[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(least[fresh].view(np.int64)), pa.array(ids[lo:hi][doc[fresh]])],
+                own = [np.unique(least[at[i]:at[i + 1]]) for i in range(hi - lo)]
+                doc = np.repeat(ids[lo:hi], [len(o) for o in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(doc)],
                                                  names=["anchor", "doc_id"])
     return run
 
@@ -124,7 +123,7 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     least = digest.groupBy("h0", "h1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = stored(digest.join(least, ["h0", "h1"]).where("doc_id > least").select("doc_id").distinct())
     anchors = known.join(copies, "doc_id", "left_anti").mapInArrow(_anchors(length), "anchor long, doc_id long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     seeds = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     runs = known.join(seeds, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
         _runs(length), "run long, doc_id long, start int")
