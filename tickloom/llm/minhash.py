@@ -211,7 +211,7 @@ def group_links(homes: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = ["home", "i", "j", "rep", "component", "size", "diff"]
-    apart = rows.where("component <> main").withColumn("i", place("na")).withColumn("j", every("nb")).select(*data)
+    apart = rows.where("component <> main").withColumn("i", place("na")).withColumn("j", every("nb")).select(*(F.col(c).alias(c) for c in data))
     whole = rows.withColumn("j", place("nb")).withColumn("i", every("na")).select(*data)
     key = ["home", "i", "j"]
     return stored(apart.groupBy(key).cogroup(whole.groupBy(key)).applyInArrow(_block_links(percent), "a long, b long").distinct())
