@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import (U64, components, gram_hashes, keyed_text, mix, sequence_hash, split_words, stored,
-                                 text_slices)
+                                 text_slices, unzipped, zipped_text)
 
 POSITIONS = 128
 #: Root branches; the chance to lose a pair at the threshold is about (1 - 0.8 * 0.63) ** 20 at two levels.
@@ -132,7 +132,7 @@ def _paths(levels: int):
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), k)]
+            sets = [s.view(np.int64) for s in shingle_sets(unzipped(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["doc_id", "members"])
     return run
@@ -145,7 +145,7 @@ def _close(a0, a1, b0, b1) -> Column:
 def full_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(doc_id, members): the full sets of the documents of pairs (a, b)."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return stored(keyed_text(docs).join(ids, "doc_id").mapInArrow(_sets(k), "doc_id long, members array<long>"))
+    return stored(zipped_text(keyed_text(docs)).join(ids, "doc_id").mapInArrow(_sets(k), "doc_id long, members array<long>"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -41,6 +41,28 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _zip(batches):
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [pack.compress(t.as_buffer()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "zipped"])
+
+
+def zipped_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, zipped) of (doc_id, text): texts that are to be shuffled travel compressed."""
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_zip, "doc_id long, zipped binary")
+
+
+def unzipped(column: pa.Array) -> pa.Array:
+    """The texts of a ``zipped`` column."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(z.as_buffer()).decode() for z in column], pa.large_string())
+
+
 # ---------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
