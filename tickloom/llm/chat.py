@@ -5,7 +5,7 @@ log2(n) of them, and enumerate the root-to-leaf path of every leaf. Branches of
 and each chosen path is written as one text.
 
 The template, per turn: ``### <role>:`` newline, the text, ``</turn>`` newline. In roles and texts a backslash is doubled,
-``###`` becomes ``\\###`` and ``</turn>`` becomes ``<\\/turn>``, so the marks occur only as marks and reading
+``###`` becomes ``\\###`` and ``</turn>`` becomes ``<\\/turn>``, and in roles a new line gets a backslash too, so the marks occur only as marks and reading
 back removes one backslash before any character.
 """
 from __future__ import annotations
@@ -64,7 +64,7 @@ def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
     steps = paths(messages).withColumn("place", -F.col("up"))
     said = messages.select("tree_id", "msg_id", F.coalesce("role", F.lit("")).alias("role"),
                            F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))
+    head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit(MIDDLE))
     body = escape(F.col("text"))
     turns = steps.join(said, ["tree_id", "msg_id"]).select(
         "tree_id", "leaf_id", "score", F.struct(

@@ -113,7 +113,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     begin, size = first[:-1][order], size[order]
     label = np.zeros(len(scores), np.int16)
-    if not len(scores) or scores.shape[1] == 1:
+    if not len(scores) or scores.shape[1] < 2:
         return label
     stay = np.zeros(scores.shape, bool)
     jump = np.zeros(len(scores), np.int16)

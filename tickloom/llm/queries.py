@@ -50,7 +50,7 @@ WITH said AS (
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
     UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 safe AS (
-    SELECT *, replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '<\/turn>') AS r,
+    SELECT *, replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '<\/turn>'), chr(10), '\' || chr(10)) AS r,
            replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '<\/turn>') AS t FROM said)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.shared import stored
 
 TABLES, PROJECTIONS = 3, 4
-#: Width of a cell in root mean square lengths; wide cells suit data without clusters.
+#: Width of a cell in common lengths; wide cells suit data without clusters.
 WIDTH = 2.5
 PROBES = 14
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
@@ -31,9 +31,9 @@ _MOVES = np.array(list(itertools.product((0, -1, 1), repeat=PROJECTIONS)))
 class Hashing:
     """Projections of the lengthened vectors for each table; fixed by the dimension and the largest length."""
 
-    def __init__(self, dimension: int, longest: float, typical: float):
+    def __init__(self, dimension: int, longest: float):
         rng = np.random.default_rng(3)
-        self.longest, self.width = longest, WIDTH * typical
+        self.longest, self.width = longest, WIDTH * longest
         raw = rng.standard_normal((TABLES, dimension + 1, PROJECTIONS))
         self.axes = np.stack([np.linalg.qr(a)[0] if dimension >= PROJECTIONS else a for a in raw]) * np.sqrt(dimension + 1)
         self.shift = rng.random((TABLES, PROJECTIONS)) * self.width
@@ -149,12 +149,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     rows, queries = usable(rows), usable(queries)
     square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    facts = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("top"), F.avg(square).alias("mean"))
+    facts = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("top"))
     facts = facts.orderBy(F.desc("n"), "d").limit(1).collect()
     if not facts:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, total = facts[0].d, facts[0].n
-    hashing = Hashing(d, float(np.sqrt(facts[0].top)), float(np.sqrt(facts[0].mean)))
+    hashing = Hashing(d, float(np.sqrt(facts[0].top)))
     rows, queries = (x.where(F.size("x") == d).dropDuplicates(["id"]) for x in (rows, queries))
     shape = "bucket long, id long, x array<double>"
     index = stored(rows.mapInArrow(_bucketed(hashing, False), shape))
