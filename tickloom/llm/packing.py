@@ -36,7 +36,8 @@ class Encoder:
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of its runs.
     """
-    CACHE = 250_000
+    #: Runs of each of the two generations kept; a run met again moves to the younger one.
+    CACHE = 300_000
     SEPARATOR = "<|startoftext|>"
 
     def __init__(self, path: str):
@@ -45,6 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = self.tokenizer.token_to_id(self.SEPARATOR)
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,8 +65,11 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > self.CACHE:
-            self.known = {"": b""}
-        self._learn(list(set().union(*runs) - self.known.keys()))
+            self.old, self.known = self.known, {"": b""}
+        fresh = set().union(*runs) - self.known.keys()
+        again = fresh & self.old.keys()
+        self.known.update((r, self.old[r]) for r in again)
+        self._learn(list(fresh - again))
         return [b"".join(map(self.known.__getitem__, r)) for r in runs]
 
 
