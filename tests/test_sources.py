@@ -117,3 +117,19 @@ def test_sinks(spark, tmp_path):
     sinks.write_bars(b, str(tmp_path / "b"))
     sinks.write_bars(b.filter("close = 2.0").withColumn("close", F.lit(3.0)), str(tmp_path / "b"))
     assert sorted(r.close for r in spark.read.parquet(str(tmp_path / "b")).collect()) == [1.0, 3.0]
+
+
+def test_files_of_a_folder_in_name_order(spark, tmp_path):
+    start = 1_700_000_000_000
+    for name, first, n in (("a-1.csv", 0, 10), ("a-2.csv", 10, 40), ("a-3.csv", 50, 5)):
+        rows = [f"{start + (first + i) * 60_000},1,2,0.5,1,9" for i in range(n)]
+        (tmp_path / name).write_text("timestamp,open,high,low,close,volume\n" + "\n".join(rows) + "\n")
+    assert sb.read_bars(spark, str(tmp_path), "X").count() == 55
+
+
+def test_dedupe_keeps_the_first_batch(spark):
+    from tickloom.sources.carry import dedupe_events
+
+    a, b = (spark.createDataFrame([("X", 1, rate, 0)], "symbol string, funding_time long, funding_rate double, ingest_id long")
+            for rate in (0.1, 0.9))
+    assert [dedupe_events(*p).first().funding_rate for p in ((a, b), (b, a))] == [0.1, 0.9]

@@ -297,7 +297,8 @@ def signal_log(approved: DataFrame, rejected: DataFrame, n: int, keys: list[str]
 
 
 def latest_values(df: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts))
+    """The value at the last time of each key; of several at that time the largest."""
+    return df.groupBy(*keys).agg(F.max_by(value, F.struct(ts, value)).alias(value), F.max(ts).alias(ts))
 
 
 def last_version(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -1,5 +1,4 @@
 """One DataFrame plan per operator, over the star-schema tables (see ``derive``)."""
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +42,11 @@ def finish(df: DataFrame) -> DataFrame:
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """End the lineage of a small table that several later steps read.
+    """End the lineage of a small table that several later steps read, in the checkpoint folder the session names.
 
-    Goes to the cluster's checkpoint folder. Where none is named, a local session uses a
-    folder of its own and any other session goes on with the uncut plan.
+    A session that names none gets a table in its warehouse folder, which all executors share.
     """
-    local = spark.sparkContext.master.startswith("local")
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not ensure_checkpoint_dir(spark, None if named or not local else tempfile.mkdtemp(prefix="tickloom-")):
-            return df
+    ensure_checkpoint_dir(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return df.checkpoint()
 
 

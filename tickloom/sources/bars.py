@@ -1,5 +1,5 @@
 """Bar sources: CSV exports, headerless archives, mark-price folders; typed and checked."""
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.quality import DataError, dedupe_first, row_issues
@@ -8,7 +8,7 @@ REQUIRED = ["timestamp", "open", "high", "low", "close", "volume"]
 BOM = "﻿"
 
 
-def read_csv_text(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+def read_csv_files(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """All columns as trimmed strings under lower-case names; BOM, CRLF and blank lines ignored.
 
     Raises on an empty file or repeated header names. ``ingest_id`` numbers the rows in file
@@ -23,8 +23,26 @@ def read_csv_text(spark: SparkSession, path: str, delimiter: str = ",") -> DataF
     repeated = sorted({c for c in header if header.count(c) > 1})
     if repeated:
         raise DataError(f"duplicate header: {', '.join(repeated)}")
-    df = df.toDF(*header)
-    return df.withColumn("ingest_id", F.monotonically_increasing_id())
+    return in_file_order(df, "_file").toDF(*header, "source_file", "ingest_id")
+
+
+def read_csv_text(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """``read_csv_files`` without the file names."""
+    return read_csv_files(spark, path, delimiter).drop("source_file")
+
+
+def in_file_order(df: DataFrame, *more: str) -> DataFrame:
+    """The frame of a file scan with ``ingest_id``: by file name, then place in the file.
+
+    ``more`` names further columns to keep, as ``_file``. Row numbers alone would follow how Spark packs files into tasks. A number is 2 ** 40 times the file's rank, plus the start of
+    its split, plus the row's number in its task, which is less than a split has bytes.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct().withColumn(
+        "_rank", F.row_number().over(Window.orderBy("_file")) - 1)
+    number = F.col("_rank").cast("long") * (1 << 40) + F.col("_block") + F.col("_row")
+    return placed.join(files, "_file").select(*df.columns, *more, number.alias("ingest_id"))
 
 
 def _header(spark: SparkSession, path: str, delimiter: str) -> list[str]:
@@ -96,12 +114,13 @@ def read_bars(spark: SparkSession, path: str, symbol: str | None = None, mode: s
 
 def read_bar_archive(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
     """Files with or without a header: rows of six or more fields with a numeric first one."""
-    lines = spark.read.text(path).withColumn("_f", F.split(F.trim("value"), ","))
+    raw = spark.read.text(path)
+    sym = symbol if symbol is not None else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)-[^/]*$", 1)
+    lines = in_file_order(raw.select("value", sym.alias("symbol"), "_metadata")).withColumn("_f", F.split(F.trim("value"), ","))
     rows = lines.filter((F.size("_f") >= 6) & F.col("_f")[0].rlike(r"^\s*\d+\s*$"))
-    sym = symbol if symbol is not None else F.regexp_extract(F.input_file_name(), r"([^/]+?)-[^/]*$", 1)
-    return rows.select(sym.alias("symbol"), parse_time(F.col("_f")[0]).alias("ts"),
+    return rows.select("symbol", parse_time(F.col("_f")[0]).alias("ts"),
                        *[parse_number(F.col("_f")[i + 1]).alias(c) for i, c in enumerate(REQUIRED[1:])],
-                       F.monotonically_increasing_id().alias("ingest_id"))
+                       "ingest_id")
 
 
 def read_mark_bars(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:

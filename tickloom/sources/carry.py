@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.joins import keep_first
 from tickloom.operators.quality import synthetic_source
-from tickloom.sources.bars import DataError, parse_number, read_csv_text
+from tickloom.sources.bars import DataError, parse_number, read_csv_files, read_csv_text
 
 # The event file's columns and the archive's aliases for them.
 EVENT_COLUMNS = ["symbol", "fundingTime", "fundingRate", "markPrice", "rateType", "source"]
@@ -37,7 +37,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str, source: str, symbol: Column | None = None) -> DataFrame:
     """Monthly archive files under any alias header; unusable rows dropped, provenance attached."""
-    raw = read_csv_text(spark, path)
+    raw = read_csv_files(spark, path)
 
     def alias(names):
         found = [F.col(n) for n in names if n in raw.columns]
@@ -45,7 +45,7 @@ def read_archive(spark: SparkSession, path: str, source: str, symbol: Column | N
             raise DataError(f"none of {', '.join(names)} in {raw.columns}")
         return F.coalesce(*found)
 
-    sym = symbol if symbol is not None else F.regexp_extract(F.input_file_name(), r"([^/]+?)-[^/]*$", 1)
+    sym = symbol if symbol is not None else F.regexp_extract("source_file", r"([^/]+?)-[^/]*$", 1)
     out = raw.select(sym.alias("symbol"), alias(TIME_ALIASES).try_cast("bigint").alias("funding_time"),
                      parse_number(alias(RATE_ALIASES)).alias("funding_rate"),
                      F.lit(None).cast("double").alias("mark_price"), F.lit(None).cast("string").alias("rate_type"),
@@ -53,8 +53,12 @@ def read_archive(spark: SparkSession, path: str, source: str, symbol: Column | N
     return out.filter("funding_time is not null and funding_rate is not null")
 
 
-def dedupe_events(events: DataFrame) -> DataFrame:
-    """First event per symbol and time, across any number of batches."""
+def dedupe_events(*batches: DataFrame) -> DataFrame:
+    """First event per symbol and time: of the earliest batch given that has it, there the first row."""
+    events = None
+    for number, batch in enumerate(batches):
+        batch = batch.withColumn("ingest_id", F.struct(F.lit(number).alias("batch"), F.col("ingest_id").alias("row")))
+        events = batch if events is None else events.unionByName(batch)
     return keep_first(events, ["symbol", "funding_time"], "ingest_id")
 
 

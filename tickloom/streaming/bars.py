@@ -56,8 +56,8 @@ def tick_bars(ticks: DataFrame, interval: str = "15 minutes", delay: str = "1 mi
 
 
 def latest(df: DataFrame, value: str = "price", key: str = "symbol") -> DataFrame:
-    """Last value per key (update or complete output mode)."""
-    return df.groupBy(key).agg(F.max_by(value, "ts").alias(value), F.max("ts").alias("ts"))
+    """Last value per key (update or complete output mode); of several at that time the largest."""
+    return df.groupBy(key).agg(F.max_by(value, F.struct("ts", value)).alias(value), F.max("ts").alias("ts"))
 
 
 def mark_backfill(bars: DataFrame, until: Column) -> DataFrame:
