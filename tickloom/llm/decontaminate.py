@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import U64, gram_hashes, keyed_text, mix, split_words, text_slices
+from tickloom.llm.shared import U64, gram_hashes, keyed_text, mix, split_words, text_slices, tidy
 
 SHINGLE = 3
 SIMILARITY = 0.8
@@ -168,7 +168,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                                                  names=[f.split()[0] for f in MATCH.split(", ")])
 
-        part = text.mapInArrow(run, MATCH)
+        part = text.mapInArrow(tidy(run), MATCH)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], MATCH) if out is None else out
 
@@ -183,5 +183,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[m[0] for m in index.matches(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs

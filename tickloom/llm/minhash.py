@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import (U64, components, gram_hashes, keyed_text, mix, sequence_hash, split_words, stored,
-                                 text_slices, unzipped, zipped_text)
+                                 text_slices, tidy, unzipped, zipped_text)
 
 POSITIONS = 128
 #: Root branches; the chance to lose a pair at the threshold is about (1 - 0.8 * 0.63) ** 20 at two levels.
@@ -145,7 +145,7 @@ def _close(a0, a1, b0, b1) -> Column:
 def full_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(doc_id, members): the full sets of the documents of pairs (a, b)."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return stored(zipped_text(keyed_text(docs)).join(ids, "doc_id").mapInArrow(_sets(k), "doc_id long, members array<long>"))
+    return stored(zipped_text(keyed_text(docs)).join(ids, "doc_id").mapInArrow(tidy(_sets(k)), "doc_id long, members array<long>"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     spark = docs.sparkSession
     feats = stored(keyed_text(docs).mapInArrow(
-        _features(shingle), "doc_id long, n_shingles long, d0 long, d1 long, s0 long, s1 long, sig binary"))
+        tidy(_features(shingle)), "doc_id long, n_shingles long, d0 long, d1 long, s0 long, s1 long, sig binary"))
     full = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
     digest = ["n_shingles", "d0", "d1"]
     reps = full.groupBy(digest).agg(F.min("doc_id").alias("rep"))
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = (feats.join(names.where("doc_id = rep").select("rep").distinct(), feats.doc_id == F.col("rep"))
                .select("rep", "s0", "s1", "sig").dropDuplicates(["rep"]))
     members = stored(members)
-    spots = stored(members.mapInArrow(_paths(1), "path long, rep long, s0 long, s1 long"))
+    spots = stored(members.mapInArrow(tidy(_paths(1)), "path long, rep long, s0 long, s1 long"))
 
     nodes = (spots.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("top"),
                                        F.min_by("s0", "rep").alias("t0"), F.min_by("s1", "rep").alias("t1"))
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             break
         level += 2
         rows = stored(large.select("path", "rep").join(members, "rep").select("path", "rep", "s0", "s1", "sig")
-                      .mapInArrow(_paths(2), "path long, rep long, s0 long, s1 long")).join(homes, "rep", "left")
+                      .mapInArrow(tidy(_paths(2)), "path long, rep long, s0 long, s1 long")).join(homes, "rep", "left")
 
     whole = names.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("found")).groupBy("doc_id").agg(F.min("found").alias("found"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import keyed_text, large_text, shared_folder, text_slices
+from tickloom.llm.shared import keyed_text, large_text, shared_folder, text_slices, tidy
 
 WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
@@ -61,6 +61,10 @@ class Encoder:
             for run, a, b in zip(group, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
                 self.known[run] = ids[a:b].tobytes()
 
+    def forget(self) -> None:
+        """Drop the runs kept, not the tokenizer."""
+        self.known, self.old = {"": b""}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -105,6 +109,7 @@ def _pieces(path: str, window: int):
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)],
                                                  names=[c.split()[0] for c in PIECE.split(", ")])
+        encoder.forget()
     return run
 
 
@@ -193,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, tiers: Sequence[
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    keyed_text(docs).mapInArrow(_pieces(tokenizer, window), PIECE).write.option("compression", "zstd").parquet(folder)
+    keyed_text(docs).mapInArrow(tidy(_pieces(tokenizer, window)), PIECE).write.option("compression", "zstd").parquet(folder)
     pieces = spark.read.schema(PIECE).parquet(folder)
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

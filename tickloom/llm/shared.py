@@ -1,9 +1,10 @@
 """What the operators share: tables in the cluster's shared folder, words of Arrow text, components."""
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +53,7 @@ def _zip(batches):
 
 def zipped_text(docs: DataFrame) -> DataFrame:
     """(doc_id, zipped) of (doc_id, text): texts that are to be shuffled travel compressed."""
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_zip, "doc_id long, zipped binary")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(tidy(_zip), "doc_id long, zipped binary")
 
 
 def unzipped(column: pa.Array) -> pa.Array:
@@ -63,6 +64,22 @@ def unzipped(column: pa.Array) -> pa.Array:
     return pa.array([unpack.decompress(z.as_buffer()).decode() for z in column], pa.large_string())
 
 
+def tidy(run: Callable) -> Callable:
+    """The task function ``run``, after whose last batch the worker gives its unused memory back to the system.
+
+    Workers stay alive between stages; without this an executor carries the largest need of all its earlier tasks.
+    """
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim is not None:
+                trim(0)
+    return whole
+
+
 # ---------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
