@@ -2,7 +2,6 @@ import datetime as dt
 
 import pytest
 
-from tickloom.operators.sequence import LEVELS_CONF
 from tickloom.session import local_session, prepare
 
 T0 = dt.datetime(2024, 1, 1)
@@ -14,7 +13,6 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     if s.sparkContext.getCheckpointDir() is None:
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    s.conf.set(LEVELS_CONF, "1")
     return prepare(s)
 
 

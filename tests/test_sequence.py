@@ -4,19 +4,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import indicators as ind
 from tickloom.operators import sequence as sq
 from tickloom.operators.positions import hold
 from tickloom.operators.quantiles import exact_quantiles, upper_median
 
 
-@pytest.fixture(params=["1", "2"])
-def levels(spark, request):
-    spark.conf.set(sq.LEVELS_CONF, request.param)
-    yield request.param
-    spark.conf.set(sq.LEVELS_CONF, "1")
-
-
-def test_ordinals_across_chunks(spark, levels):
+def test_ordinals_across_chunks(spark):
     rng = random.Random(3)
     rows = [(k, t) for k in "ab" for t in sorted(rng.sample(range(5000), 300))]
     rng.shuffle(rows)
@@ -27,7 +21,7 @@ def test_ordinals_across_chunks(spark, levels):
             assert got[k, t] == i
 
 
-def test_scan_equals_running_values(spark, levels):
+def test_scan_equals_running_values(spark):
     rng = random.Random(5)
     rows = [(k, i, rng.uniform(0.9, 1.1), rng.choice([None, i])) for k in "ab" for i in range(400)]
     df = spark.createDataFrame(rows, "k string, o bigint, x double, y bigint")
@@ -56,7 +50,7 @@ def test_scan_equals_running_values(spark, levels):
                     seen = y if y is not None else seen
 
 
-def test_scan_reads_the_upstream_once(spark, levels):
+def test_scan_reads_the_upstream_once(spark):
     src = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), F.rand(7).alias("x"))
     src = src.groupBy("k", "o").agg(F.max("x").alias("x")).withColumn("_blk", sq.int_div(F.col("o"), 50))
     out = sq.scan(src, ["k"], ["o"], "_blk", {"s": ("x", "sum")})
@@ -78,7 +72,7 @@ def test_blocked_window_equals_plain_window(spark):
         assert got[i].n == (rows[i + 3][2] if i + 3 < 500 else None)
 
 
-def test_latch_across_blocks(spark, levels):
+def test_latch_across_blocks(spark):
     rng = random.Random(11)
     rows, want = [], {}
     for k in range(6):
@@ -112,6 +106,29 @@ def test_exact_order_statistics_under_skew(spark):
     assert exact_quantiles(df, [], "x", {"q": 1.0}).collect()[0].q == 500.0
 
 
+@pytest.mark.parametrize("period", [1, 2, 3, 200])
+def test_long_averages_refuse_periods_they_cannot_hold(spark, period):
+    bars = spark.createDataFrame([("a", 0, 0, 1.0)], "symbol string, ord bigint, _blk bigint, close double")
+    with pytest.raises(ValueError, match="outside"):
+        ind.with_long_averages(bars, ["symbol"], {"e": ind.long_ema_spec(period)})
+
+
+def test_long_averages_over_several_sub_blocks(spark):
+    rng = random.Random(8)
+    xs = [100 + rng.uniform(-5, 5) for _ in range(3 * ind.SUB + 50)]
+    rows = [("a", i, 0, x) for i, x in enumerate(xs)]
+    bars = spark.createDataFrame(rows, "symbol string, ord bigint, _blk bigint, close double")
+    periods = (4, 9, 50)
+    got = {r.ord: r for r in ind.with_long_averages(
+        bars, ["symbol"], {f"e{p}": ind.long_ema_spec(p) for p in periods}).collect()}
+    for p in periods:
+        k, e = 2 / (p + 1), sum(xs[:p]) / p
+        for i in range(p, len(xs)):
+            e = k * xs[i] + (1 - k) * e
+            assert got[i][f"e{p}"] == pytest.approx(e, rel=1e-12)
+        assert got[p - 2][f"e{p}"] is None
+
+
 def test_negative_numbers_floor(spark):
     df = spark.createDataFrame([(-1,), (-8,), (-9,), (7,), (8,)], "v bigint").select(sq.int_div(F.col("v"), 8))
     assert list(itertools.chain.from_iterable(df.collect())) == [-1, -1, -2, 0, 1]

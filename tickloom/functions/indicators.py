@@ -69,8 +69,12 @@ def with_long_averages(bars: DataFrame, keys: list[str], specs: dict[str, tuple[
     """Unbounded exponential averages e = k*x + (1-k)*e, as running sums plus one carry.
 
     ``specs``: name -> (value column, seed length, seed position, k). The seed at that
-    position is the mean of the last seed-length values.
+    position is the mean of the last seed-length values. One carry is exact only while a weight
+    one sub-block back is below 2**-53 and its inverse is a finite double; other k are refused.
     """
+    for name, (_, _, _, k) in specs.items():
+        if not 1e-250 < (1 - k) ** SUB <= 2.0 ** -53:
+            raise ValueError(f"{name}: the weight {k} is outside what sub-blocks of {SUB} rows hold exactly")
     w = block_window(keys)
     sub = Window.partitionBy(*keys, "_blk", "_sub").orderBy("ord")
     r = F.pmod(F.col("ord"), F.lit(SUB)).cast("double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.sequence import (BLOCK, FAN, block_no, block_window, carry_in, int_div, scan,
-                                         scan_levels, split, summed, upto)
+                                         split, summed, upto)
 
 LEDGER = ["entry_time", "entry_price", "exit_time", "exit_price", "quantity", "gross_pnl",
           "fees", "net_pnl", "return_pct", "holding_bars", "forced_exit"]
@@ -61,11 +61,6 @@ def _latch_carry(blocks: DataFrame, keys: list[str], fan: int = FAN) -> DataFram
     def flips(w):
         return F.coalesce(F.sum("t").over(w), F.lit(0))
 
-    if scan_levels(blocks.sparkSession) == 1:
-        w = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        b = blocks.withColumn("_tl", flips(w)).withColumn("_k", (F.col("c") + F.col("_tl")) % 2)
-        last = F.coalesce(F.last("_k", ignorenulls=True).over(w), F.lit(0))
-        return b.withColumn("s_in", ((last + F.col("_tl")) % 2).cast("int")).drop("_tl", "_k")
     by = [*keys, "_sup"]
     b = split(blocks.withColumn("_sup", block_no(F.col("_blk"), fan)), by)
     w = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)

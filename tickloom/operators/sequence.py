@@ -19,20 +19,6 @@ from pyspark.sql import functions as F
 BLOCK = 8192
 FAN = 1024
 
-# Runtime setting: 2 (default) scans block summaries in two levels; 1 in one window per
-# key, which ``set_scan_levels`` chooses only for inputs of a checked size.
-LEVELS_CONF = "tickloom.scan.levels"
-ONE_LEVEL_BYTES = 64 << 30
-
-
-def scan_levels(spark) -> int:
-    return int(spark.conf.get(LEVELS_CONF, "2"))
-
-
-def set_scan_levels(spark, input_bytes: int) -> None:
-    """One level while the input leaves at most a few 100,000 block summaries in all."""
-    spark.conf.set(LEVELS_CONF, "1" if input_bytes <= ONE_LEVEL_BYTES else "2")
-
 
 def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
@@ -110,13 +96,8 @@ def carry_in(blocks: DataFrame, keys: list[str], blk: str, specs: dict[str, tupl
     """Exclusive scan over one row per (keys, blk).
 
     ``specs`` maps an output name to (summary column, kind). Adds, per spec, the
-    combination of all earlier blocks (NULL in the first). ``LEVELS_CONF`` says whether the
-    summaries of one key are few enough for a single window.
+    combination of all earlier blocks (NULL in the first).
     """
-    if scan_levels(blocks.sparkSession) == 1:
-        w = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-        return blocks.withColumns({
-            name: _running(kind, F.col(c), w) for name, (c, kind) in specs.items()})
     b = split(blocks.withColumn("_sup", block_no(F.col(blk), fan)), [*keys, "_sup"])
     before_sup = Window.partitionBy(*keys).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys, "_sup").orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)

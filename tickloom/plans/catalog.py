@@ -52,17 +52,17 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 # --- shared steps -------------------------------------------------------------------
 
-def costs(spark, sizes=(100.0,)):
-    return pos.scenario_table(spark, sizes=sizes)
+def costs(spark, sizes=(100.0,), only=tuple(pos.SCENARIOS)):
+    return pos.scenario_table(spark, {name: pos.SCENARIOS[name] for name in only}, sizes=sizes)
 
 
 def rule_signals(spark, sf, strategies=RULES_15M, interval="15m"):
     return signals(derive.bars(spark, sf, interval), strategies, interval=interval)
 
 
-def ledgers(spark, sf, strategies=RULES_15M, sizes=(100.0,)):
+def ledgers(spark, sf, strategies=RULES_15M, sizes=(100.0,), only=tuple(pos.SCENARIOS)):
     return cut(spark, grid.run_ledger(rule_signals(spark, sf, strategies), ["symbol", "strategy"],
-                                      costs(spark, sizes), CAPITAL))
+                                      costs(spark, sizes, only), CAPITAL))
 
 
 def curves(spark, sf, trades, strategies=RULES_15M, sizes=(100.0,)):
@@ -95,9 +95,9 @@ EXT_ORDER = ["entry_time", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey
 
 
 def ext_chunk():
-    """Block number along EXT_ORDER: the day, then ranges of a million order keys."""
-    keys = F.least((F.col("l_orderkey") / 1_000_000).cast("bigint"), F.lit((1 << 20) - 1))
-    return time_chunk("entry_time", DAY) * (1 << 20) + keys
+    """Block number along EXT_ORDER: the day, then ranges of a million order keys (any bigint key)."""
+    keys = (F.col("l_orderkey") / 1_000_000).cast("bigint")
+    return time_chunk("entry_time", DAY) * (1 << 44) + keys
 
 
 def dirty_bars(spark, sf):
@@ -598,8 +598,8 @@ def carry_top5(spark, sf):
 
 @query
 def trade_features(spark, sf):
-    t = ledgers(spark, sf, ["emaCrossover"])
-    c = dg.entry_context(t.filter("scenario = 'BASE'"), dg.bar_features(derive.bars(spark, sf)))
+    t = ledgers(spark, sf, ["emaCrossover"], only=["BASE"])
+    c = dg.entry_context(t, dg.bar_features(derive.bars(spark, sf)))
     return c.select("symbol", "entry_time", "gross_return_pct", "net_return_pct", "cost_pct", "mfe", "mae",
                     *dg.FEATURES)
 
@@ -612,13 +612,13 @@ def mfe_mae(spark, sf):
 
 @query
 def forward_entry(spark, sf):
-    t = ledgers(spark, sf, ["emaCrossover"]).filter("scenario = 'GROSS'")
+    t = ledgers(spark, sf, ["emaCrossover"], only=["GROSS"])
     return dg.forward_excursions(derive.bars(spark, sf), t).select(
         "symbol", "entry_time", *[f"fwd_{m}_{h}" for h in (4, 12, 24) for m in ("mfe", "mae")])
 
 
 def _contexts(spark, sf):
-    t = ledgers(spark, sf, ["emaCrossover"]).filter("scenario = 'BASE'")
+    t = ledgers(spark, sf, ["emaCrossover"], only=["BASE"])
     return cut(spark, dg.entry_context(t, dg.bar_features(derive.bars(spark, sf))))
 
 

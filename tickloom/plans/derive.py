@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.resample import ticks_to_bars
-from tickloom.operators.sequence import BLOCK, set_scan_levels, time_chunk, with_ordinal
+from tickloom.operators.sequence import BLOCK, time_chunk, with_ordinal
 from tickloom.functions.scalars import interval_millis
 from tickloom.session import prepare
 
@@ -11,16 +11,9 @@ from tickloom.session import prepare
 PRICE_BASE = 1000.0
 
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    set_scan_levels(spark, stored_bytes(spark, sf_dir))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ntz = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
