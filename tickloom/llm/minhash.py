@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import (U64, components, gram_hashes, keyed_text, mix, sequence_hash, split_words, stored,
-                                 text_slices, tidy, unzipped, zipped_text)
+                                 text_slices, tidy, zipped_slices, zipped_text)
 
 POSITIONS = 128
 #: Root branches; the chance to lose a pair at the threshold is about (1 - 0.8 * 0.63) ** 20 at two levels.
@@ -46,9 +46,9 @@ _FLIP = _RANDOM.integers(0, 1 << 32, POSITIONS, dtype=np.uint32)
 _TURN = _RANDOM.integers(0, 1 << 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(slices: Iterator[tuple], k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than k words: the whole sequence as one; none: empty."""
-    for _, _, data, bounds in text_slices(column):
+    for _, _, data, bounds in slices:
         words = split_words(data, bounds, lower=True)
         hashes = words.hashes()
         grams = gram_hashes(hashes, k)
@@ -72,7 +72,7 @@ def _features(k: int):
     def run(batches):
         for batch in batches:
             sizes, one, two, sigs, bits = [], [], [], [], []
-            for members in shingle_sets(batch.column(1), k):
+            for members in shingle_sets(text_slices(batch.column(1)), k):
                 sizes.append(len(members))
                 one.append(int(mix(members ^ U64(0x1234567)).sum(dtype=U64)))
                 two.append(int(mix(members + U64(0x7654321)).sum(dtype=U64)))
@@ -132,7 +132,7 @@ def _paths(levels: int):
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(unzipped(batch.column(1)), k)]
+            sets = [s.view(np.int64) for s in shingle_sets(zipped_slices(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["doc_id", "members"])
     return run

@@ -56,12 +56,25 @@ def zipped_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(tidy(_zip), "doc_id long, zipped binary")
 
 
-def unzipped(column: pa.Array) -> pa.Array:
-    """The texts of a ``zipped`` column."""
+def zipped_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What ``text_slices`` gives, from a ``zipped`` column: one slice is unpacked at a time."""
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor()
-    return pa.array([unpack.decompress(z.as_buffer()).decode() for z in column], pa.large_string())
+    unpack, first, held, texts = zstandard.ZstdDecompressor(), 0, 0, []
+
+    def whole(end):
+        bounds = np.cumsum([0, *map(len, texts)])
+        return first, end, np.frombuffer(b"".join(texts), np.uint8), bounds
+
+    for row, zipped in enumerate(column):
+        text = unpack.decompress(zipped.as_buffer())
+        if texts and held + len(text) > size:
+            yield whole(row)
+            first, held, texts = row, 0, []
+        texts.append(text)
+        held += len(text)
+    if texts:
+        yield whole(len(column))
 
 
 def tidy(run: Callable) -> Callable:

@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import U64, gram_hashes, keyed_text, split_words, stored, text_slices, unzipped, zipped_text
+from tickloom.llm.shared import U64, gram_hashes, keyed_text, split_words, stored, tidy, zipped_slices, zipped_text
 
 ANCHOR_WORDS = 5
 
 
 def _slices(column: pa.Array, length: int):
-    """(first row, end row, words, anchor hash for each run start, run starts) of slices of texts."""
+    """(first row, end row, words, hashes, run starts, their anchor hashes, bounds of rows in these) of slices of zipped texts."""
     span = length - ANCHOR_WORDS + 1
-    for lo, hi, data, bounds in text_slices(column):
+    for lo, hi, data, bounds in zipped_slices(column):
         words = split_words(data, bounds)
         hashes = words.hashes()
         grams = gram_hashes(hashes, ANCHOR_WORDS)
@@ -44,7 +44,7 @@ def _anchors(length: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, _, _, runs, least, at in _slices(unzipped(batch.column(1)), length):
+            for lo, hi, _, _, runs, least, at in _slices(batch.column(1), length):
                 own = [np.unique(least[at[i]:at[i + 1]]) for i in range(hi - lo)]
                 doc = np.repeat(ids[lo:hi], [len(o) for o in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(doc)],
@@ -59,7 +59,7 @@ def _runs(length: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             shared = batch.column(2)
             values, cuts = shared.values.to_numpy().view(U64), shared.offsets.to_numpy()
-            for lo, hi, words, hashes, runs, least, at in _slices(unzipped(batch.column(1)), length):
+            for lo, hi, words, hashes, runs, least, at in _slices(batch.column(1), length):
                 full = gram_hashes(hashes, length)
                 keep = np.concatenate([np.isin(least[at[i]:at[i + 1]], values[cuts[lo + i]:cuts[lo + i + 1]])
                                        for i in range(hi - lo)])
@@ -78,7 +78,7 @@ def _remove(length: int):
     def run(batches):
         for batch in batches:
             starts, copy = batch.column(2), batch.column(3)
-            for lo, hi, data, bounds in text_slices(unzipped(batch.column(1))):
+            for lo, hi, data, bounds in zipped_slices(batch.column(1)):
                 words = split_words(data, bounds)
                 count = np.diff(words.first)
                 total, gone, kept, spans = [], [], [], []
@@ -123,11 +123,11 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     digest = text.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"))
     least = digest.groupBy("h0", "h1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = stored(digest.join(least, ["h0", "h1"]).where("doc_id > least").select("doc_id").distinct())
-    anchors = known.join(copies, "doc_id", "left_anti").mapInArrow(_anchors(length), "anchor long, doc_id long")
+    anchors = known.join(copies, "doc_id", "left_anti").mapInArrow(tidy(_anchors(length)), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     seeds = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     runs = known.join(seeds, "doc_id").select("doc_id", "zipped", "anchors").mapInArrow(
-        _runs(length), "run long, doc_id long, start int")
+        tidy(_runs(length)), "run long, doc_id long, start int")
     first = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
     gone = runs.join(first, "run").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.select(
@@ -136,4 +136,4 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     marked = known.join(gone, "doc_id", "left").select("doc_id", "zipped", "starts", "copy").union(
         packed.where("doc_id IS NULL").select("doc_id", "zipped", F.lit(None).cast("array<int>"), F.lit(False)))
     return marked.mapInArrow(
-        _remove(length), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
+        tidy(_remove(length)), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
