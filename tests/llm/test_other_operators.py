@@ -115,3 +115,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert "password" not in docs.where("doc_id = 106").first().text
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_encoder_equals_the_tokenizer_run_by_run():
+    import public_tokenizers
+    from tickloom.llm.packing import Encoder
+
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["İstanbul don't 'tis a's क़ x!! İ! ǅ!?' ﬁ... ª² ᾳ! <|startoftext|> a<|endoftext|>! _a é ̈́ 한국어! ß'",
+             "", " a! b　c d\x85e\x0b f\n\n", "Word word, word!? 15.1 x=y (755) ok'S", "word, again"]
+    for text, want in zip(texts, encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want.ids

@@ -12,6 +12,7 @@ piece data is sorted or gathered.
 """
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -38,6 +39,8 @@ class Encoder:
     """
     #: Runs of each of the two generations kept; a run met again moves to the younger one.
     CACHE = 300_000
+    #: Runs tokenised together.
+    GROUP = 256
     SEPARATOR = "<|startoftext|>"
 
     def __init__(self, path: str):
@@ -45,21 +48,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = self.tokenizer.token_to_id(self.SEPARATOR)
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        #: Which ids end a word, where the vocabulary marks that.
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.marked = bool(self.last.any())
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _least_words(run: str) -> int:
+        """Fewest words of a run of letters with or without punctuation after them; 0: some other run."""
+        body = run.rstrip(string.punctuation)
+        return 1 + (len(body) < len(run)) if body.isalpha() else 0
+
+    def _groups(self, runs: list[str], glue: str):
+        groups = [runs[i:i + self.GROUP] for i in range(0, len(runs), self.GROUP)]
+        return zip(groups, self._ids([glue.join(g) for g in groups]), strict=True)
+
+    def _keep(self, runs: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        for run, a, b in zip(runs, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+            self.known[run] = raw[a:b]
+
     def _learn(self, runs: list[str]) -> None:
-        odd = [r for r in runs if self.cut is None or self.SEPARATOR in r]
+        words = {r: n for r in runs if (n := self._least_words(r))} if self.marked else {}
+        rest = [r for r in runs if r not in words]
+        for group, ids in self._groups(list(words), " "):
+            bounds, ends = np.cumsum([words[r] for r in group]), np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == bounds[-1]:  # no run has fewer words than it was given, so none has more
+                ends = ends[bounds - 1]
+                self._keep(group, ids, np.concatenate([[0], ends[:-1]]), ends)
+            else:
+                rest += group
+        odd = [r for r in rest if self.cut is None or self.SEPARATOR in r]
         self.known.update(zip(odd, (i.tobytes() for i in self._ids(odd)), strict=True))
-        plain = [r for r in runs if self.cut is not None and self.SEPARATOR not in r]
-        groups = [plain[i:i + 256] for i in range(0, len(plain), 256)]
-        for group, ids in zip(groups, self._ids([self.SEPARATOR.join(g) for g in groups]), strict=True):
+        plain = [r for r in rest if self.cut is not None and self.SEPARATOR not in r]
+        for group, ids in self._groups(plain, self.SEPARATOR):
             ends = np.flatnonzero(ids == self.cut)
-            for run, a, b in zip(group, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
-                self.known[run] = ids[a:b].tobytes()
+            self._keep(group, ids, np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(ids)]]))
 
     def forget(self) -> None:
         """Drop the runs kept, not the tokenizer."""
