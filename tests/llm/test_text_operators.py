@@ -211,6 +211,17 @@ def test_contaminations(docs, spark):
     assert decontaminate.contaminations(docs(rows), bench.where("false")).collect() == []
 
 
+def test_contaminations_of_documents_shorter_than_the_item(docs, spark):
+    rng = random.Random(11)
+    items = [(i, prose(rng, n)) for i, n in enumerate((14, 20, 33))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(10 * i + side, " ".join(t.split()[side:len(t.split()) - 1 + side])) for i, t in items for side in (0, 1)]
+    rows.append((90, " ".join(items[2][1].split()[:16])))
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words) for r in decontaminate.contaminations(docs(rows), bench).collect()}
+    assert got == {(i, i // 10, 0, len(re.findall(r"[^ ,.]+", t))) for i, t in rows[:-1]}
+    assert [r.doc_id for r in decontaminate.clean(docs(rows), bench).collect()] == [90]
+
+
 def test_fingerprint_radius_is_guaranteed():
     rng = np.random.default_rng(1)
     index = decontaminate.Index([(0, prose(random.Random(2), 20))])

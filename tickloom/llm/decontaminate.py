@@ -118,8 +118,9 @@ class Index:
 
     def _windows(self, grams, weights, mass):
         best = {}
-        for count, (own, near) in self.near.items():
-            starts = np.flatnonzero(mass[count:] - mass[:-count] >= self.least[count]) if len(mass) > count else []
+        for whole, (own, near) in self.near.items():
+            count = min(whole, len(grams))  # a text shorter than the item is one window
+            starts = np.flatnonzero(mass[count:] - mass[:-count] >= self.least[whole])
             if not len(starts):
                 continue
             prints = _fingerprints(grams, weights, starts, count)
