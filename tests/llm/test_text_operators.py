@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import decontaminate, language, minhash, packing, quality, secret_scan, substring
@@ -232,6 +233,36 @@ def test_fingerprint_radius_is_guaranteed():
         assert near[np.arange(8), values, 0].any()
 
 
+def test_edits_near_the_threshold_match_brute_force():
+    """Every item with a window of similarity 0.8 or more is found, however far apart the fingerprints are."""
+    rng = random.Random(5)
+    plain = lambda n: [f"{rng.choice('abcdefgh') * rng.randint(1, 9)}{rng.randint(0, 500)}" for _ in range(n)]
+    items = [plain(48) for _ in range(40)]
+    texts = []
+    for _ in range(600):
+        item = rng.choice(items)
+        words = list(item)
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.randrange(len(words))] = "edit" + str(rng.randint(0, 99))
+        texts.append(plain(3) + words + plain(3))
+
+    def weighted(words):
+        return {tuple(words[i:i + 3]): len("".join(words[i:i + 3])) for i in range(len(words) - 2)}
+
+    want, sides = set(), [weighted(item) for item in items]
+    for row, words in enumerate(texts):
+        for start in range(len(words) - 47):
+            window = weighted(words[start:start + 48])
+            for k, side in enumerate(sides):
+                shared = sum(w for g, w in side.items() if g in window)
+                if shared and shared / (sum(side.values()) + sum(window.values()) - shared) >= decontaminate.SIMILARITY:
+                    want.add((row, k))
+    index = decontaminate.Index([(k, " ".join(item)) for k, item in enumerate(items)])
+    got = [m for m in index.matches(pa.array([" ".join(words) for words in texts]))]
+    assert {m[:2] for m in got} == want
+    assert max(m[4] for m in got) > decontaminate.RADIUS
+
+
 def test_quality(docs, spark):
     rng = random.Random(6)
     good = [(i, prose(rng, 80)) for i in range(60)]

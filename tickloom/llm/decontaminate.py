@@ -1,10 +1,13 @@
 """Benchmark passages in documents.
 
-Windows as long as a benchmark item slide over each document. Their SimHash fingerprints are looked up in a
-multi-index: eight 8-bit blocks, each searched within one bit, so every item fingerprint within 15 of 64 bits
-is a candidate. Candidates are confirmed by exact weighted Jaccard similarity of word shingles, a shingle
-weighing as many bytes as its words have. A window that shares too little weight with all items of its
-length cannot reach that similarity, so no fingerprint is made for it.
+Windows as long as a benchmark item slide over each document; a document shorter than the item is one window.
+Their SimHash fingerprints are looked up in a multi-index: eight 8-bit blocks, each searched within one bit, so
+every item fingerprint within 15 of 64 bits is a candidate. Candidates are confirmed by exact weighted Jaccard
+similarity of word shingles, a shingle weighing as many bytes as its words have. A window that shares too little
+weight with all items of its length cannot reach that similarity, so no fingerprint is made for it.
+
+Of windows at similarity 0.8 some 3 % have fingerprints farther away. So each window whose shingles share enough
+weight with one item to reach the similarity is a candidate for that item at any distance: no window is lost.
 
 The benchmark is taken in blocks of a bounded number of items; every block is held against all documents.
 """
@@ -98,6 +101,12 @@ class Index:
         self.every = every
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(every & U64((1 << _FILTER_BITS) - 1)).astype(int)] = True
+        size = np.array([len(np.unique(g)) for g in self.grams], int)
+        #: holders[cuts[v]:cuts[v + 1]]: the items that hold the shingle every[v]; needs: the weight an item's window must share.
+        value = np.searchsorted(every, np.concatenate([np.unique(g) for g in self.grams])) if self.grams else np.zeros(0, int)
+        self.holders = np.repeat(np.arange(len(size)), size)[np.argsort(value, kind="stable")]
+        self.cuts = np.searchsorted(np.sort(value), np.arange(len(every) + 1))
+        self.needs = np.array([SIMILARITY * w[np.unique(g, return_index=True)[1]].sum() for g, w in zip(self.grams, self.weights, strict=True)])
         self.floor = min(self.least.values(), default=np.inf)
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
@@ -116,8 +125,19 @@ class Index:
                     for found in self._windows(grams[a:b], weights[a:b], mass[a:b + 1]):
                         yield row + i, *found
 
+    def _able(self, grams, weights) -> np.ndarray:
+        """Items of which the text holds enough distinct shingles, by weight, somewhere."""
+        found, at = np.unique(grams, return_index=True)
+        value = np.searchsorted(self.every, found).clip(0, len(self.every) - 1)
+        held = self.every[value] == found
+        value, weight = value[held], weights[at[held]]
+        many = self.cuts[value + 1] - self.cuts[value]
+        place = np.repeat(self.cuts[value] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        total = np.bincount(self.holders[place], np.repeat(weight, many), len(self.needs))
+        return np.flatnonzero(total >= self.needs)
+
     def _windows(self, grams, weights, mass):
-        best = {}
+        best, able = {}, self._able(grams, weights)
         for whole, (own, near) in self.near.items():
             count = min(whole, len(grams))  # a text shorter than the item is one window
             starts = np.flatnonzero(mass[count:] - mass[:-count] >= self.least[whole])
@@ -126,15 +146,16 @@ class Index:
             prints = _fingerprints(grams, weights, starts, count)
             values = ((prints[:, None] >> (U64(8) * np.arange(BLOCKS, dtype=U64))) & U64(255)).astype(int)
             listed = near[np.arange(BLOCKS), values].any(axis=1)
+            listed &= np.bitwise_count(prints[:, None] ^ self.prints[own]) <= RADIUS
+            for k in np.flatnonzero(np.isin(own, able)):
+                own_mass = np.concatenate([[0], np.cumsum(weights * np.isin(grams, self.grams[own[k]]))])
+                listed[:, k] |= own_mass[starts + count] - own_mass[starts] >= self.needs[own[k]]
             for w, k in zip(*np.nonzero(listed), strict=True):
                 item, start = own[k], int(starts[w])
-                distance = int(np.bitwise_count(prints[w] ^ self.prints[item]))
-                if distance > RADIUS:
-                    continue
                 s = _similarity(grams[start:start + count], weights[start:start + count], self.grams[item], self.weights[item])
                 key = (-s, start)
                 if s >= SIMILARITY and key < best.get(item, ((1.0,),))[0]:
-                    best[item] = key, distance, count
+                    best[item] = key, int(np.bitwise_count(prints[w] ^ self.prints[item])), count
         for item, (key, distance, count) in sorted(best.items()):
             yield self.ids[item], key[1], count + SHINGLE - 1, distance, -key[0]
 
