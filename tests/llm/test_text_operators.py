@@ -1,5 +1,6 @@
 """Document operators against plain Python versions on small tables with odd rows."""
 import hashlib
+import math
 import random
 import re
 
@@ -63,6 +64,15 @@ def test_near_duplicates_odd_tables(docs):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (2, 2, True), (3, 3, True), (3, 3, True)]
 
 
+def test_sketch_filter_keeps_pairs_at_the_threshold(spark):
+    """The filter loses less than a tenth of what the trees lose at two levels; pairs of unlike texts stay out."""
+    bits = lambda n: ((1 << n) - 1) & 0xFFFFFFFF
+    rows = [(0, 0, bits(n - n // 2), bits(n // 2)) for n in range(64)]
+    kept = spark.createDataFrame(rows, "a0 long, a1 long, b0 long, b1 long").where(minhash._close("a0", "a1", "b0", "b1")).count() - 1
+    assert sum(math.comb(128, i) * 0.1 ** i * 0.9 ** (128 - i) for i in range(kept + 1, 129)) < 7.6e-8
+    assert sum(math.comb(128, i) for i in range(kept + 1)) / 2 ** 128 < 1e-6
+
+
 def plain_repeats(rows, n):
     words = {i: WORD.findall(t or "") for i, t in rows}
     first = {}
