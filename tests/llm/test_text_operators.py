@@ -73,6 +73,28 @@ def test_sketch_filter_keeps_pairs_at_the_threshold(spark):
     assert sum(math.comb(128, i) for i in range(kept + 1)) / 2 ** 128 < 1e-6
 
 
+def test_pairs_of_large_nodes_meet_at_the_deepest_level():
+    """Of pairs at 0.8 one tree of four levels loses some; the trees that members of large nodes go through lose none."""
+    rng, n = np.random.default_rng(3), 8000
+    values = rng.integers(0, 1 << 32, (n, minhash.POSITIONS), dtype=np.uint32)
+    other = np.where(rng.random(values.shape) < 0.8, values, rng.integers(0, 1 << 32, values.shape, dtype=np.uint32))
+    sigs = np.concatenate([values, other]).astype("<u4")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(2 * n)), *[pa.array(np.zeros(2 * n, np.int64))] * 2, pa.array([s.tobytes() for s in sigs], pa.binary())],
+        names=["rep", "s0", "s1", "sig"])
+    lost, one = set(range(n)), None
+    for tree in range(minhash.TREES):
+        met = {}
+        for part in minhash._paths(minhash.MAX_LEVELS - 1, tree)([batch]):
+            for path, rep in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if rep < n:
+                    met.setdefault(path, set()).add(rep)
+                elif rep - n in met.get(path, ()):
+                    lost.discard(rep - n)
+        one = set(lost) if one is None else one
+    assert one and not lost
+
+
 def plain_repeats(rows, n):
     words = {i: WORD.findall(t or "") for i, t in rows}
     first = {}

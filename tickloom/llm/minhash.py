@@ -12,7 +12,9 @@ component are done. Elsewhere the members outside the node's main component are
 node is small if it has few of them. Candidates are filtered by one-bit sketches and confirmed on full sets.
 
 The chance to miss a pair at 0.8, by calculation: trees 7.6e-7 at two levels (1.3e-6 when it is counted that all
-branches read the same 128 values), sketches 2.5e-8 on top (5.7e-5 at 27 bits).
+branches read the same 128 values), sketches 2.5e-8 on top (5.7e-5 at 27 bits). One tree of four levels alone,
+for pairs that share large nodes only, misses 8.1e-4 (1.2e-3); so members of large nodes go through two more trees,
+and the three together miss 5.4e-10 of these pairs (1.5e-8).
 
 Groups of copies edited too much for a link would still give many close pairs. Documents close to a common first member
 therefore meet once more, as differences from it: the size of the difference of two differences is that of the sets. Blocks of
@@ -39,6 +41,8 @@ PICKS = 1.25
 NODE_LIMIT = 128
 #: Levels after which nodes are compared whatever their size.
 MAX_LEVELS = 4
+#: Trees with root positions of their own; those after the first take the members of its large nodes.
+TREES = 3
 #: Blocks of a group compared in one task, and shingles held at once there.
 APART_ROWS, GROUP_ROWS, COLUMNS = 1024, 2048, 2048
 #: Of 128 sketch bits a pair of similarity 0.8 differs in 12.8 on average, deviation 3.4; beyond 34 in 2.5e-8 of the cases.
@@ -104,8 +108,8 @@ def branch(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros(0, int), np.zeros(0, U64))
 
 
-def _paths(levels: int):
-    """Rows (path, rep, s0, s1) below the roots, or below the given nodes."""
+def _paths(levels: int, tree: int = 0):
+    """Rows (path, rep, s0, s1) below the roots of a tree, or below the given nodes."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -122,7 +126,7 @@ def _paths(levels: int):
                     row = np.arange(n)
                 else:
                     row = np.tile(np.arange(n), BRANCHES)
-                    place = np.repeat(np.arange(BRANCHES) * (POSITIONS // BRANCHES), n)
+                    place = np.repeat(np.arange(BRANCHES) * (POSITIONS // BRANCHES) + 2 * tree, n)
                     path = mix(mix(place.astype(U64) + U64(99)) + sigs[row, place])
                 for _ in range(levels):
                     up, path = branch(path, sigs[row])
@@ -254,28 +258,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = links.union(group_links(homes, sets, labels, percent))
     labels = components(links)
 
-    level, rows = 2, rows.select("path", "rep", "s0", "s1").join(homes, "rep", "left")
-    while True:
-        rows = (rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-                .withColumn("component", F.coalesce("component", "rep")))
-        kinds = rows.groupBy("path", "component").agg(F.count("*").alias("n"))
-        nodes = (kinds.groupBy("path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("main"),
-                                           F.count("*").alias("kinds"))
-                 .where("kinds > 1").select("path", (F.col("n") - F.col("most")).alias("apart"), "main"))
-        rows = stored(rows.join(nodes, "path"))
-        last = level >= MAX_LEVELS
-        near = rows if last else rows.where(F.col("apart") <= NODE_LIMIT)
-        pairs = stored(_compare(near).distinct())
-        found = _similar(measured(pairs, full_sets(docs, pairs, shingle)), percent)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-        large = rows.where(F.col("apart") > NODE_LIMIT)
-        if last or large.isEmpty():
+    rows, wide = rows.select("path", "rep", "s0", "s1"), None
+    for tree in range(TREES):
+        if tree:
+            spots = stored(members.join(wide, "rep").mapInArrow(tidy(_paths(1, tree)), "path long, rep long, s0 long, s1 long"))
+            rows = spots.join(spots.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path"), "path")
+        level, rows = 2, rows.join(homes, "rep", "left")
+        while True:
+            rows = (rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+                    .withColumn("component", F.coalesce("component", "rep")))
+            kinds = rows.groupBy("path", "component").agg(F.count("*").alias("n"))
+            nodes = (kinds.groupBy("path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("main"),
+                                               F.count("*").alias("kinds"))
+                     .where("kinds > 1").select("path", (F.col("n") - F.col("most")).alias("apart"), "main"))
+            rows = stored(rows.join(nodes, "path"))
+            last = level >= MAX_LEVELS
+            near = rows if last else rows.where(F.col("apart") <= NODE_LIMIT)
+            pairs = stored(_compare(near).distinct())
+            found = _similar(measured(pairs, full_sets(docs, pairs, shingle)), percent)
+            if not found.isEmpty():
+                links = links.union(found)
+                labels = components(links)
+            large = rows.where(F.col("apart") > NODE_LIMIT)
+            if wide is None:
+                wide = stored(large.select("rep").distinct())
+            if last or large.isEmpty():
+                break
+            level += 2
+            rows = stored(large.select("path", "rep").join(members, "rep").select("path", "rep", "s0", "s1", "sig")
+                          .mapInArrow(tidy(_paths(2)), "path long, rep long, s0 long, s1 long")).join(homes, "rep", "left")
+        if wide.isEmpty():
             break
-        level += 2
-        rows = stored(large.select("path", "rep").join(members, "rep").select("path", "rep", "s0", "s1", "sig")
-                      .mapInArrow(tidy(_paths(2)), "path long, rep long, s0 long, s1 long")).join(homes, "rep", "left")
 
     whole = names.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("found")).groupBy("doc_id").agg(F.min("found").alias("found"))
