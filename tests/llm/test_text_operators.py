@@ -174,6 +174,29 @@ def test_secret_base_spans(docs):
     assert clean[2] is None and "abcDEF" not in clean[1] and clean[1].startswith("é [SECRET]")
 
 
+def test_network_reads_whole_candidates():
+    class Sees:
+        """Accepts windows that hold a mark."""
+        threshold = 0.5
+
+        def probability(self, x):
+            return np.array([float(bytes(secret_scan._SEEN[list(b"Zq7Zq7Zq7")]) in row.tobytes()) for row in x])
+
+    key, path = "Zq7" * 10, "/a1/".join("part" for _ in range(30))
+    akia, digest = "AKIA" + "A1B2C3D4E5F6G7H8", "0123456789abcdef"
+    texts = ["see " + path + key, "see " + path + key + path, "see " + path + " " + key[:9], f"x {akia}/{key} y", f"x {key}-{digest} y", path]
+    ends = []
+    for text, spans, cands in secret_scan.examine(pa.array(texts)):
+        found = secret_scan.all_spans(text, spans, cands, Sees())
+        assert [s for s in found if s[1] != secret_scan.MODEL] == spans
+        ends.append([(s, e) for s, k, e in found if k == secret_scan.MODEL])
+    whole = [[(m.start(), m.end()) for m in re.finditer(r"\S{12,}", t)] for t in texts]
+    assert ends == [*whole[:5], []]
+    one = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([f"run {path}{digest} and {'a1' * 6} and {digest}{'-' * 60}"])], names=["doc_id", "text"])
+    labels = next(secret_scan._labelled([one])).column(1).to_pylist()
+    assert 1 in labels and 0 in labels and labels[-1] == 0
+
+
 def test_network_gradients_and_learning():
     rng = np.random.default_rng(0)
     x = rng.integers(1, 97, (6, secret_scan.WINDOW)).astype(np.uint8)
