@@ -41,6 +41,23 @@ def test_reply_trees(spark):
     assert chat.conversations(df.where("false")).collect() == []
 
 
+def test_reply_trees_of_a_null_tree(spark):
+    rows = [(None, 1, None, "user", "ask", 1.0), (None, 2, 1, "assistant", "first", 2.0), (None, 3, 2, "user", "more", 2.0),
+            (None, 4, 1, "assistant", "other", 0.0), (3, 1, None, "user", "ask", 1.0), (3, 2, 1, "assistant", "reply", 1.0)]
+    out = chat.conversations(spark.createDataFrame(rows, MESSAGES))
+    got = {(r.tree_id, r.leaf_id): [t.text for t in r.turns] for r in out.withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
+    assert got == {(None, 3): ["ask", "first", "more"], (None, 4): ["ask", "other"], (3, 2): ["ask", "reply"]}
+    best = chat.conversations(spark.createDataFrame(rows, MESSAGES), best=1).collect()
+    assert {(r.tree_id, r.leaf_id) for r in best} == {(None, 3), (3, 2)}
+
+
+def test_op1_gives_a_row_for_null_conversations(spark, tmp_path):
+    rows = [(None, 1, "user", "hello"), (None, 2, "assistant", "hi"), (None, None, "user", None), (5, 1, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op1_chat(spark, str(tmp_path)).collect()}
+    assert got.pop(-7)[0] == 2 and got == {None: (3, 2), 5: (1, 0)}
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "a\r\nb", ""), (5, "u", "é" * 9000), (2, "u", "same"), (None, "u", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))

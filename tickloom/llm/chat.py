@@ -28,27 +28,34 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _meet(left: DataFrame, right: DataFrame, id: str, how: str = "inner") -> DataFrame:
+    """Join on tree_id, where null equals null, and an id of the tree; both named once."""
+    right = right.withColumnsRenamed({"tree_id": "_tree", id: "_id"})
+    return left.join(right, F.col("tree_id").eqNullSafe(F.col("_tree")) & (F.col(id) == F.col("_id")), how).drop("_tree", "_id")
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, msg_id, up): a row for each message of each root-to-leaf path, ``up`` steps above the leaf.
 
-    ``messages`` has tree_id, msg_id, parent_id (null, or an id that does not exist: a root). Ids are unique in a tree.
+    ``messages`` has tree_id, msg_id, parent_id (null, or an id that does not exist: a root). Ids are unique in a tree;
+    a message without one has no path. Messages with a null tree_id are a tree like any other.
     Table k of the self-joins names the ancestor 2 ** k steps above; each step of a path is reached once, by the
     binary digits of its distance, so the rows joined are those of the result. A branch below a cycle has no root and no path.
     """
     ids = messages.select("tree_id", "msg_id", "parent_id")
     known = ids.select("tree_id", F.col("msg_id").alias("parent_id")).distinct()
-    jumps = [stored(ids.join(known, ["tree_id", "parent_id"]).select("tree_id", "msg_id", F.col("parent_id").alias("above")))]
+    jumps = [stored(_meet(ids, known, "parent_id").select("tree_id", "msg_id", F.col("parent_id").alias("above")))]
     many = ids.count()
     while not jumps[-1].isEmpty() and 1 << (len(jumps) - 1) <= many:
         far = jumps[-1].withColumnRenamed("above", "next").withColumnRenamed("msg_id", "above")
-        jumps.append(stored(jumps[-1].join(far, ["tree_id", "above"]).select("tree_id", "msg_id", F.col("next").alias("above"))))
+        jumps.append(stored(_meet(jumps[-1], far, "above").select("tree_id", "msg_id", F.col("next").alias("above"))))
     parents = jumps[0].select("tree_id", F.col("above").alias("msg_id")).distinct()
     endless = jumps[-1].select("tree_id", "msg_id")
-    leaves = ids.join(parents, ["tree_id", "msg_id"], "left_anti").join(endless, ["tree_id", "msg_id"], "left_anti")
+    leaves = _meet(_meet(ids, parents, "msg_id", "left_anti"), endless, "msg_id", "left_anti")
     rows = leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps) - 1)):
         rows = stored(rows)
-        rows = rows.union(rows.join(jumps[k], ["tree_id", "msg_id"]).select(
+        rows = rows.union(_meet(rows, jumps[k], "msg_id").select(
             "tree_id", "leaf_id", F.col("above").alias("msg_id"), F.col("up") + (1 << k)))
     return rows
 
@@ -58,7 +65,8 @@ def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
 
     ``messages``: tree_id, msg_id, parent_id, role, text, score. Null roles and texts are empty, null scores 0.
     Branches of a tree rank by mean score of their messages, ties to the smaller leaf_id; ``best`` keeps that
-    many of each tree, None all. loss_spans are (start, length) in code points of the formatted text: the escaped text of each
+    many of each tree, None all. A null tree_id is a tree of its own and comes out as null.
+    loss_spans are (start, length) in code points of the formatted text: the escaped text of each
     assistant turn. Other columns are ignored.
     """
     steps = paths(messages).withColumn("place", -F.col("up"))
@@ -66,7 +74,7 @@ def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
                            F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit(MIDDLE))
     body = escape(F.col("text"))
-    turns = steps.join(said, ["tree_id", "msg_id"]).select(
+    turns = _meet(steps, said, "msg_id").select(
         "tree_id", "leaf_id", "score", F.struct(
             "place", F.concat(head, body, F.lit(CLOSE)).alias("turn"), (F.col("role") == "assistant").alias("loss"),
             F.char_length(head).alias("head"), F.char_length(body).alias("body")).alias("t"))
