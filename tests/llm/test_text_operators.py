@@ -122,6 +122,13 @@ def test_remove_repeats_odd_tables(docs):
     assert [(s.start, s.end) for r in got if r.doc_id == 2 for s in r.spans] == [(0, 14)]
 
 
+def test_remove_repeats_of_a_repeated_id_with_other_texts(docs):
+    line = lambda c: " ".join(f"{c}{i}" for i in range(20))
+    rows = [(1, line("a")), (2, line("a")), (2, line("b")), (2, "x y " + line("c")), (3, line("b")), (4, line("c") + " z"), (1, line("c"))]
+    got = sorted((r.doc_id, r.n_words, r.kept) for r in substring.remove_repeats(docs(rows)).collect())
+    assert got == sorted([(1, 20, line("a")), (1, 20, line("c")), (2, 20, ""), (2, 20, line("b")), (2, 22, "x y"), (3, 20, ""), (4, 21, "z")])
+
+
 def test_packing_round_trip(docs, corpus):
     from tokenizers import Tokenizer
 

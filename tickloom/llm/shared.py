@@ -47,13 +47,14 @@ def _zip(batches):
 
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        texts = [pack.compress(t.as_buffer()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "zipped"])
+        texts = [pack.compress(t.as_buffer()) for t in batch.column(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*batch.schema.names[:-1], "zipped"])
 
 
-def zipped_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, zipped) of (doc_id, text): texts that are to be shuffled travel compressed."""
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(tidy(_zip), "doc_id long, zipped binary")
+def zipped_text(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, zipped) of (doc_id, more, text), further columns being long: texts that are to be shuffled travel compressed."""
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *more))
+    return docs.select("doc_id", *more, F.col("text").cast("binary")).mapInArrow(tidy(_zip), f"{schema}, zipped binary")
 
 
 def zipped_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,12 +1,12 @@
-"""Repeated passages between documents: seed and extend.
+"""Repeated passages between documents: seeds, and whole runs around them.
 
 Seeds are winnowed anchors: in every run of ``length`` words the word gram with the smallest hash. Two equal
 runs choose the same anchor at the same place, so no repeat of the wanted length is missed. Documents meet on
-anchors that two or more of them hold. Around each such seed the match is extended both ways over the runs that chose it; a run
+anchors that two or more of them hold. No match is extended word by word: each run that chose such a seed is hashed whole; a run
 matches if its words start in an earlier document too, and overlapping matches join to maximal repeats.
 
-Documents with equal texts are settled first: all but the one with the smallest id lose every word that lies in
-a run. Only that one is searched. Extension does not go pair by pair: the runs at the seeds are grouped by content and carry the smallest
+Rows with equal texts are settled first: all but those with the smallest id lose every word that lies in
+a run. Only these are searched. The runs at the seeds are grouped by content and carry the smallest
 document id of their group. So thousands of copies of a passage cost as many rows as they have words, and both
 groupings are aggregates and joins whose hot keys Spark can combine early or split.
 """
@@ -44,11 +44,12 @@ def _anchors(length: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, _, _, runs, least, at in _slices(batch.column(1), length):
+            texts = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, _, _, runs, least, at in _slices(batch.column(2), length):
                 own = [np.unique(least[at[i]:at[i + 1]]) for i in range(hi - lo)]
-                doc = np.repeat(ids[lo:hi], [len(o) for o in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(doc)],
-                                                 names=["anchor", "doc_id"])
+                doc = np.repeat(np.arange(lo, hi), [len(o) for o in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(ids[doc]), pa.array(texts[doc])],
+                                                 names=["anchor", "doc_id", "digest"])
     return run
 
 
@@ -57,17 +58,18 @@ def _runs(length: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            shared = batch.column(2)
+            texts = batch.column(1).to_numpy(zero_copy_only=False)
+            shared = batch.column(3)
             values, cuts = shared.values.to_numpy().view(U64), shared.offsets.to_numpy()
-            for lo, hi, words, hashes, runs, least, at in _slices(batch.column(1), length):
+            for lo, hi, words, hashes, runs, least, at in _slices(batch.column(2), length):
                 full = gram_hashes(hashes, length)
                 keep = np.concatenate([np.isin(least[at[i]:at[i + 1]], values[cuts[lo + i]:cuts[lo + i + 1]])
                                        for i in range(hi - lo)])
                 doc = np.repeat(np.arange(hi - lo), np.diff(at))[keep]
                 kept = runs[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full[kept].view(np.int64)), pa.array(ids[lo:hi][doc]),
-                     pa.array((kept - words.first[doc]).astype(np.int32))], names=["run", "doc_id", "start"])
+                    [pa.array(full[kept].view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(texts[lo:hi][doc]),
+                     pa.array((kept - words.first[doc]).astype(np.int32))], names=["run", "doc_id", "digest", "start"])
     return run
 
 
@@ -111,29 +113,31 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans) for every document.
 
     A word goes if a run of ``length`` words that covers it also starts in a document with a smaller doc_id,
-    judged on the input. ``kept`` joins the other words by one space; ``spans`` are the removed stretches
+    judged on the input, row by row. ``kept`` joins the other words by one space; ``spans`` are the removed stretches
     (first word, end word), maximal. Null texts are empty, null doc_ids neither give nor lose words; rows that
-    repeat a doc_id are one document for this. Other columns are ignored.
+    repeat a doc_id are one document for this, which takes no words from itself. Other columns are ignored.
     """
     if length <= ANCHOR_WORDS:
         raise ValueError(f"length must be over {ANCHOR_WORDS}")
-    text = keyed_text(docs)
-    packed = zipped_text(text)
-    known = packed.where("doc_id IS NOT NULL")  # one exchange by doc_id serves the three joins below
-    digest = text.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"))
-    least = digest.groupBy("h0", "h1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = stored(digest.join(least, ["h0", "h1"]).where("doc_id > least").select("doc_id").distinct())
-    anchors = known.join(copies, "doc_id", "left_anti").mapInArrow(tidy(_anchors(length)), "anchor long, doc_id long")
+    key = ["doc_id", "digest"]  # a row, or equal ones: an id may be repeated with other texts
+    text = keyed_text(docs).select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    packed = zipped_text(text, "digest")
+    known = packed.where("doc_id IS NOT NULL")  # one exchange by the key serves the three joins below
+    digest = text.where("doc_id IS NOT NULL").select(*key, F.xxhash64(F.lit(1), "text").alias("more"))
+    least = digest.groupBy("digest", "more").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = stored(digest.join(least, ["digest", "more"]).where("doc_id > least").select(*key).distinct())
+    anchors = known.join(copies, key, "left_anti").select(*key, "zipped").mapInArrow(
+        tidy(_anchors(length)), "anchor long, doc_id long, digest long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    seeds = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    runs = known.join(seeds, "doc_id").select("doc_id", "zipped", "anchors").mapInArrow(
-        tidy(_runs(length)), "run long, doc_id long, start int")
+    seeds = anchors.join(shared, "anchor").groupBy(*key).agg(F.collect_set("anchor").alias("anchors"))
+    runs = known.join(seeds, key).select(*key, "zipped", "anchors").mapInArrow(
+        tidy(_runs(length)), "run long, doc_id long, digest long, start int")
     first = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
-    gone = runs.join(first, "run").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    gone = runs.join(first, "run").where("first < doc_id").groupBy(*key).agg(F.collect_set("start").alias("starts"))
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.select(
-        "doc_id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
-    gone = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("copy").alias("copy"))
-    marked = known.join(gone, "doc_id", "left").select("doc_id", "zipped", "starts", "copy").union(
+        *key, F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    gone = gone.groupBy(*key).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("copy").alias("copy"))
+    marked = known.join(gone, key, "left").select("doc_id", "zipped", "starts", "copy").union(
         packed.where("doc_id IS NULL").select("doc_id", "zipped", F.lit(None).cast("array<int>"), F.lit(False)))
     return marked.mapInArrow(
         tidy(_remove(length)), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
