@@ -1,11 +1,7 @@
-import datetime as dt
-
 import pytest
 
 from tickloom.session import local_session, prepare
 
-T0 = dt.datetime(2024, 1, 1)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -14,25 +10,3 @@ def spark(tmp_path_factory):
     if s.sparkContext.getCheckpointDir() is None:
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return prepare(s)
-
-
-def lin(a, b, n):
-    return [a + (b - a) * (i + 1) / n for i in range(n)]
-
-
-def candles(closes, opens=None, step_min=15, symbol="X", highs=None):
-    opens = opens or closes
-    out = []
-    for i, (o, c) in enumerate(zip(opens, closes)):
-        h = max(o, c) if highs is None or i not in highs else highs[i]
-        out.append((symbol, T0 + dt.timedelta(minutes=step_min * i), float(o), float(h), float(min(o, c)),
-                    float(c), 1000.0, i))
-    return out
-
-
-BARS = ("symbol string, ts timestamp, open double, high double, low double, close double, volume double, "
-        "ord bigint")
-
-
-def bar_frame(spark, rows):
-    return spark.createDataFrame(rows, BARS)

@@ -1,4 +1,4 @@
-from conftest import bar_frame, candles, lin
+from helpers_bars import bar_frame, candles, lin
 from tickloom.functions.signals import python_rule
 from tickloom.operators import gates, positions as pos
 

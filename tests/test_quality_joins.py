@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import BARS, T0, bar_frame, candles
+from helpers_bars import BARS, T0, bar_frame, candles
 from tickloom.functions import scalars as sc
 from tickloom.operators import carry, grid, joins, quality as q, resample as rs
 from tickloom.operators.sequence import block_no, int_div

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0, bar_frame, candles, lin
+from helpers_bars import T0, bar_frame, candles, lin
 from reference_rules import flags, simulate
 from tickloom.functions.signals import get_rule, list_rules, live_rules, signals
 from tickloom.operators import grid, metrics as mt, positions as pos

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0
+from helpers_bars import T0
 from tickloom.operators.quality import DataError
 from tickloom.sources import bars as sb, carry as scar, manifest as mf, sinks
 

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0, bar_frame, candles, lin
+from helpers_bars import T0, bar_frame, candles, lin
 from tickloom.functions.signals import signals
 from tickloom.operators import positions as pos
 from tickloom.streaming import bars as st, stateful as sf

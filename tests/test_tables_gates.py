@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0
+from helpers_bars import T0
 from tickloom.operators import gates, metrics as mt, reconcile as rc
 
 
