@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontaminate, language, minhash, packing, quality, secret_scan, substring, vectors, warc
+from tickloom.llm import (
+    chat, decontaminate, language, main_text, minhash, packing, quality, repair, secret_scan, spelling, substring, vectors, warc)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -191,7 +192,150 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined("spans").alias("spans"))
 
 
+# ---------------------------------------------------------------- op11
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+# ---------------------------------------------------------------- op12
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` dropped, emptied, cut of their ends, repeated or given to the user, by a checksum of their place."""
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                     F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    hurt = F.crc32(place.cast("binary")) % 20
+    rows = rows.withColumn("hurt", hurt).where("hurt <> 0")
+    rows = rows.withColumns({
+        "text": F.when(F.col("hurt") == 1, "").when(F.col("hurt") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+        "role": F.when(F.col("hurt") == 4, "user").otherwise(F.col("role"))})
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("hurt") == 3, 2).otherwise(1)))).drop("hurt", "copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair(damaged(rows)).withColumnRenamed("conv_id", "c")
+    whole = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of a DuckDB string expression, byte by byte from the reflected polynomial 0xEDB88320."""
+    code = f"hex(encode({text}))"
+    number = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr({code}, (2 * i + 1)::INT, 2))::BIGINT)"
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    one = f"list_reduce(range(8), lambda x, k: {bit}, xor(c, b))"
+    return f"xor(list_reduce({number}, lambda c, b: {one}, 4294967295::BIGINT), 4294967295)"
+
+
+def _moves(to: str, plain: list[tuple[str, str]]) -> str:
+    """The cheapest of several {cost, audit, text}; each as (state before, SQL of the step from it)."""
+    return f"list_min(list_filter([{', '.join(step.replace('@', state) for state, step in plain)}], lambda m: m.c IS NOT NULL)) AS {to}"
+
+
+_STATE = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+_STEP = "CASE WHEN @ IS NULL THEN NULL ELSE {{'c': @.c + {c}, 'a': @.a || '{a}', 't': @.t || {t}}} END"
+_INSERT_USER = _STEP.format(c=5, a="I", t="'user:' || chr(10)")
+_INSERT_ASSISTANT = _STEP.format(c=5, a="I", t="'assistant:' || chr(10)")
+
+
+def _inserts(states: str) -> str:
+    """Three rounds of insertions over the states e (nothing), s, u and a."""
+    sql = states
+    for _ in range(3):
+        sql = f"""SELECT * REPLACE ({_moves('u', [('u', '@'), ('e', _INSERT_USER), ('s', _INSERT_USER), ('a', _INSERT_USER)])},
+            {_moves('a', [('a', '@'), ('u', _INSERT_ASSISTANT)])}) FROM ({sql})"""
+    return sql
+
+
+def _edit(initial: str, role: str, cost: str, audit: str) -> str:
+    return (f"CASE WHEN @ IS NULL OR must OR NOT ({initial}) THEN NULL "
+            f"ELSE {{'c': @.c + late + {cost}, 'a': @.a || '{audit}', 't': @.t || {role} || ':' || text || chr(10)}} END")
+
+
+_DELETE = _STEP.format(c=2, a="D", t="''")
+OP12_SQL = rf"""
+WITH RECURSIVE said AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hurt
+    FROM conversations),
+hurt AS (
+    SELECT conv_id, turn, CASE WHEN hurt = 4 THEN 'user' ELSE role END AS role,
+           CASE hurt WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM (SELECT *, unnest(range(CASE hurt WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM said)),
+rows AS (
+    SELECT *, row_number() OVER w AS at, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+           lag(left(role, 1)) OVER w AS before, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+faults AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                   ELSE '' END AS fault FROM rows),
+ready AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS late FROM faults),
+walk AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS at, {{'c': 0::BIGINT, 'a': '', 't': ''}}::{_STATE} AS e, NULL::{_STATE} AS s, NULL::{_STATE} AS u,
+           NULL::{_STATE} AS a FROM hurt
+    UNION ALL
+    SELECT w.conv_id, w.at + 1, {_moves('e', [('e', _DELETE)])},
+           {_moves('s', [('s', _DELETE), ('e', _edit("left(role, 1) = 's'", 'role', '0', 'K'))])},
+           {_moves('u', [('u', _DELETE), *[(q, step) for q in 'esa' for step in (
+               _edit("left(role, 1) = 'u'", 'role', '0', 'K'), _edit('true', "'user'", '1', 'R'))]])},
+           {_moves('a', [('a', _DELETE), ('u', _edit("left(role, 1) = 'a'", 'role', '0', 'K')), ('u', _edit('true', "'assistant'", '1', 'R'))])}
+    FROM ({_inserts('SELECT * FROM walk')}) w JOIN ready r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.at = w.at + 1),
+ends AS (
+    SELECT conv_id, list_min(list_filter([e, a], lambda m: m.c IS NOT NULL)) AS best
+    FROM ({_inserts('SELECT * FROM walk QUALIFY at = max(at) OVER (PARTITION BY conv_id)')})),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (at > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id)
+SELECT i.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(x.best.c, 0)::BIGINT AS cost,
+       coalesce(x.best.a, '') AS audit, sha256(coalesce(left(x.best.t, length(x.best.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ends x ON x.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+# ---------------------------------------------------------------- op13
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-zÀ-ÿ]+')) AS run FROM documents),
+distinct_runs AS (
+    SELECT run, n, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+    FROM (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run)),
+words AS (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+           sum(n)::BIGINT AS n
+    FROM distinct_runs GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+holes AS (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+pairs AS (
+    SELECT a.word AS a, b.word AS b, b.n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.rest
+    UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.rest),
+best AS (SELECT a, count(*) AS n_near, arg_min(b, {{'less': -n, 'word': b}}) AS form, max(n) AS form_n FROM pairs GROUP BY a),
+formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.form_n >= 5 * w.n THEN b.form END AS form,
+           CASE WHEN b.form_n >= 5 * w.n THEN b.form_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.a = w.word),
+ways AS (
+    SELECT word, word AS root, form AS next FROM formed
+    UNION ALL SELECT w.word, f.word, f.form FROM ways w JOIN formed f ON f.word = w.next)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN ways w ON w.word = f.word AND w.next IS NULL
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat, op2_warc, op3_packing, op4_near_duplicates, op5_language, op6_substring_dedup, op7_decontamination,
-    op8_neighbours, op9_quality, op10_secrets)}
-ORACLE = {"op1_chat": OP1_SQL, "op2_warc": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op6_substring_dedup": OP6_SQL}
+    op8_neighbours, op9_quality, op10_secrets, op11_main_text, op12_conversation_repair, op13_spelling)}
+ORACLE = {"op1_chat": OP1_SQL, "op2_warc": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op6_substring_dedup": OP6_SQL,
+          "op12_conversation_repair": OP12_SQL, "op13_spelling": OP13_SQL}
