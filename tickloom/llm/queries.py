@@ -265,31 +265,31 @@ hurt AS (
     SELECT conv_id, turn, CASE WHEN hurt = 4 THEN 'user' ELSE role END AS role,
            CASE hurt WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
     FROM (SELECT *, unnest(range(CASE hurt WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM said)),
-rows AS (
-    SELECT *, row_number() OVER w AS at, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+placed AS (
+    SELECT *, row_number() OVER w AS place,
            lag(left(role, 1)) OVER w AS before, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
     FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 faults AS (
-    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated'
-                   ELSE '' END AS fault FROM rows),
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN place > min(place) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                   ELSE '' END AS fault FROM placed),
 ready AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS late FROM faults),
 walk AS (
-    SELECT DISTINCT conv_id, 0::BIGINT AS at, {{'c': 0::BIGINT, 'a': '', 't': ''}}::{_STATE} AS e, NULL::{_STATE} AS s, NULL::{_STATE} AS u,
+    SELECT DISTINCT conv_id, 0::BIGINT AS place, {{'c': 0::BIGINT, 'a': '', 't': ''}}::{_STATE} AS e, NULL::{_STATE} AS s, NULL::{_STATE} AS u,
            NULL::{_STATE} AS a FROM hurt
     UNION ALL
-    SELECT w.conv_id, w.at + 1, {_moves('e', [('e', _DELETE)])},
+    SELECT w.conv_id, w.place + 1, {_moves('e', [('e', _DELETE)])},
            {_moves('s', [('s', _DELETE), ('e', _edit("left(role, 1) = 's'", 'role', '0', 'K'))])},
            {_moves('u', [('u', _DELETE), *[(q, step) for q in 'esa' for step in (
                _edit("left(role, 1) = 'u'", 'role', '0', 'K'), _edit('true', "'user'", '1', 'R'))]])},
            {_moves('a', [('a', _DELETE), ('u', _edit("left(role, 1) = 'a'", 'role', '0', 'K')), ('u', _edit('true', "'assistant'", '1', 'R'))])}
-    FROM ({_inserts('SELECT * FROM walk')}) w JOIN ready r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.at = w.at + 1),
+    FROM ({_inserts('SELECT * FROM walk')}) w JOIN ready r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.place + 1),
 ends AS (
     SELECT conv_id, list_min(list_filter([e, a], lambda m: m.c IS NOT NULL)) AS best
-    FROM ({_inserts('SELECT * FROM walk QUALIFY at = max(at) OVER (PARTITION BY conv_id)')})),
+    FROM ({_inserts('SELECT * FROM walk QUALIFY place = max(place) OVER (PARTITION BY conv_id)')})),
 counts AS (
     SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
            count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
-           count(*) FILTER (at > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+           count(*) FILTER (place > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
     FROM faults GROUP BY conv_id)
 SELECT i.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
        coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(x.best.c, 0)::BIGINT AS cost,
