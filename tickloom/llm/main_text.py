@@ -50,8 +50,8 @@ SIDE_NAMES = {
 #: Names that take the sense from a side name in the same word of a class: has-sidebar, no-comments, comment-free.
 NEUTRAL_NAMES = {"has", "no", "with", "without", "free", "layout"}
 MAIN_NAMES = {"articlebody", "mainentity"}
-#: Parts of lists, tables and quotes: their lines belong to the element around the whole.
-PARTS = {"ul", "ol", "dl", "li", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "figure", "pre", "hgroup"}
+#: Paragraphs and parts of lists, tables and quotes: their lines belong to the element around the whole.
+PARTS = TEXT_BLOCKS | {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "blockquote", "figure", "hgroup"}
 #: Elements nested deeper are taken as children of the element at this depth, as browsers do; their text stays.
 MAX_DEPTH = 512
 
@@ -135,8 +135,7 @@ def _lines(page: str) -> list[_Line]:
     def say(text):
         nonlocal line
         if line is None:
-            block = top.name in TEXT_BLOCKS
-            line = _Line(top.parent if block and top.parent is not None else top, top.name if block else "")
+            line = _Line(top, top.name)
             lines.append(line)
         line.parts.append(text)
         if not links:
@@ -305,7 +304,7 @@ def _joins(lines: list[_Line], i: int, j: int) -> bool:
     if a.kind not in HEADINGS or i > j:
         return False
     e = b.element
-    while e is not None and e is not a.element:
+    while e is not None and e is not a.element.home:
         e = e.parent
     return e is not None
 
