@@ -17,6 +17,9 @@ def local_session(cores: int = 8, app: str = "tickloom", **conf) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # The ordered stream state (``streaming.stateful``) needs maps and timers.
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         # Small local data: keep the tasks apart instead of packing them into 1 MB each.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32KB")
         # Call-site capture costs several JVM round trips per column expression.

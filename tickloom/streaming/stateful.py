@@ -1,13 +1,21 @@
 """Keyed state machines on streams: live signals, cooldown, breakers.
 
-Each is one ``applyInPandasWithState`` per key with a small, bounded state. Rows of a
-micro-batch are put into time order first, because files and partitions are not.
+All run on ``in_order``: rows wait in the state of their key until the watermark has passed them and are then
+applied in order of time, whatever order they arrived in. A row that arrives behind the watermark is not applied and
+not lost either: it comes out with ``late`` set. So the rows that are not late give what a batch over them gives
+(``streaming.replay`` states which rows those are).
+
+The state needs the RocksDB store: set ``spark.sql.streaming.stateStore.providerClass`` to ``STATE_STORE``.
 """
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Fixed values.
 BUFFER = 60
@@ -61,110 +69,188 @@ def rsi_flags(prices: list[float], seen: int, memory: tuple) -> tuple[bool, bool
 
 RULES: dict[str, Callable] = {"emaCrossover": crossover_flags, "rsiEma": rsi_flags}
 
-SIGNAL_OUT = "symbol string, ts timestamp, close double, action string"
-SIGNAL_STATE = "prices array<double>, seen bigint, m0 double, m1 double, held boolean, last_ts bigint"
+# --- rows in order of time ----------------------------------------------------------
 
+class InOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark passes them.
 
-def live_signals(bars: DataFrame, rule: str = "emaCrossover", needs_position: bool = True) -> DataFrame:
-    """LONG and CLOSE per final bar and symbol; equal to the batch rule on the same bars.
+    ``pending`` is a map from (time, further order) to the row, so a row sent twice is held once; a timer just behind each
+    time wakes the key. ``step`` takes the rows that are due, in order, and the key's memory (None at first), and gives
+    output rows and the memory to keep.
+    """
 
-    ``bars``: symbol, ts, close, warmup. Warm-up rows feed the state but do not act. With
-    ``needs_position`` the state tracks the position the emitted actions imply.
+    def __init__(self, columns: list[str], kinds: dict[str, str], order: list[str], step: Callable, memory: str, fields: list[str]):
+        self.columns, self.kinds, self.order, self.step, self.memory, self.fields = columns, kinds, order, step, memory, fields
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        places = ", ".join(f"{c} {self.kinds[c]}" for c in self.order)
+        self.pending = handle.getMapState("pending", f"at bigint{', ' * bool(places)}{places}",
+                                          ", ".join(f"{c} {self.kinds[c]}" for c in self.columns))
+        self.kept = handle.getValueState("kept", self.memory)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        late, times = [], set()
+        for part in rows:
+            names = list(part.columns)
+            for row in part.itertuples(index=False, name=None):
+                row = dict(zip(names, row))
+                at = row["at_micros"]
+                if at < watermark * 1000:
+                    late.append((*key, at, *[None] * len(self.fields), True))
+                    continue
+                place = (at, *[row[c] for c in self.order])
+                if not self.pending.containsKey(place):
+                    self.pending.updateValue(place, tuple(row[c] for c in self.columns))
+                    times.add(at // 1000 + 1)
+        for at in times:
+            self.handle.registerTimer(at)
+        yield self._frame(key, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted((tuple(place), tuple(row)) for place, row in self.pending.iterator() if place[0] < watermark)
+        if due:
+            for place, _ in due:
+                self.pending.removeKey(place)
+            kept = tuple(self.kept.get()) if self.kept.exists() else None
+            out, kept = self.step([(place[0], *row) for place, row in due], kept)
+            if kept is not None:
+                self.kept.update(kept)
+            yield self._frame(key, [(*key, at, *fields, False) for at, *fields in out])
+        else:
+            yield self._frame(key, [])
+
+    def _frame(self, key, rows) -> pd.DataFrame:
+        names = [*(f"key_{i}" for i in range(len(key))), "at_micros", *self.fields, "late"]
+        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(rows: DataFrame, keys: list[str], columns: list[str], step: Callable, memory: str, out: str, delay: str,
+             order: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ts, ``out``, late): ``step`` over the rows (keys, ts, columns) of each key, in order of ts and ``order``.
+
+    Rows up to ``delay`` behind the newest of the stream are waited for. Rows farther behind come out as
+    (keys, ts, nulls, late = true). ``memory`` is the schema of what a key remembers between steps. The watermark of
+    ``rows`` is set here; an earlier one on another column is not allowed.
     """
+    provider = rows.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    if provider != STATE_STORE:
+        raise ValueError(f"spark.sql.streaming.stateStore.providerClass is {provider!r}, has to be {STATE_STORE!r}")
+    kinds = dict(rows.dtypes)
+    fields = StructType.fromDDL(out)
+    # a copy of the time without the mark of an event-time column: Spark would drop late rows before the state sees them
+    held = rows.withWatermark("ts", delay).select(*keys, F.unix_micros("ts").alias("at_micros"), *dict.fromkeys([*columns, *order]))
+    schema = ", ".join([*(f"key_{i} {kinds[k]}" for i, k in enumerate(keys)), "at_micros bigint", out, "late boolean"])
+    done = held.groupBy(*keys).transformWithStateInPandas(
+        InOrder(columns, kinds, list(order), step, memory, fields.names), schema, "Append", "EventTime")
+    return done.select(*(F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)), F.timestamp_micros("at_micros").alias("ts"), *fields.names, "late")
+
+
+def on_time(out: DataFrame) -> DataFrame:
+    """What was done with the rows that came in time."""
+    return out.where("NOT late").drop("late")
+
+
+def late_rows(out: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and times of the rows that came behind the watermark."""
+    return out.where("late").select(*keys, "ts")
+
+
+# --- what is done with them ---------------------------------------------------------
+
+def signal_steps(rule: str, needs_position: bool) -> Callable:
     flags = RULES[rule]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prices, seen, m0, m1, held, last = state.get if state.exists else ([], 0, None, None, False, -1)
-        prices, memory = list(prices), (m0, m1)
-        rows = pd.concat(list(batches)).sort_values("ts")
+    def step(rows, memory):
+        prices, seen, m0, m1, held = memory or ([], 0, None, None, False)
+        prices, known = list(prices), (m0, m1)
         out = []
-        for ts, close, warm in zip(rows["ts"], rows["close"], rows["warmup"]):
-            if ts.value <= last:
-                continue
-            last = ts.value
+        for at, close, warm in rows:
             prices = [*prices, float(close)][-BUFFER:]
             seen += 1
-            up, down, memory = flags(prices, seen, memory)
+            up, down, known = flags(prices, seen, known)
             if warm:
                 continue
             if up and not (needs_position and held):
                 held = True
-                out.append((key[0], ts, float(close), "LONG"))
+                out.append((at, float(close), "LONG"))
             elif down and (held or not needs_position):
                 held = False
-                out.append((key[0], ts, float(close), "CLOSE"))
-        state.update((prices, seen, memory[0], memory[1], held, last))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "action"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(
-        step, SIGNAL_OUT, SIGNAL_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def cooldown(entries: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame:
-    """``allowed`` per entry signal: false within ``seconds`` of the last allowed one."""
-    span = int(seconds * 1_000_000_000)
-
-    def step(key, batches, state):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
-        allowed = []
-        for ts in rows["ts"]:
-            ok = last is None or ts.value - last >= span
-            allowed.append(ok)
-            if ok:
-                last = ts.value
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"symbol": rows["symbol"].values, "ts": rows["ts"].values, "allowed": allowed})
-
-    return entries.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, ts timestamp, allowed boolean", "last bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def loss_breaker(closes: DataFrame, key: str = "account", limit: int = LOSS_LIMIT,
-                 seconds: float = BREAKER_SECONDS) -> DataFrame:
-    """A row per trip: ``limit`` losses in a row; a trip restarts the count."""
-    span = pd.Timedelta(seconds=seconds)
-
-    def step(group, batches, state):
-        streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for ts, pnl in zip(rows["ts"], rows["pnl"]):
+                out.append((at, float(close), "CLOSE"))
+        return out, (prices, seen, *known, held)
+    return step
+
+
+def live_signals(bars: DataFrame, rule: str = "emaCrossover", needs_position: bool = True, delay: str = "1 hour") -> DataFrame:
+    """(symbol, ts, close, action, late): LONG and CLOSE by final bar; on the bars in time equal to the batch rule.
+
+    ``bars``: symbol, ts, close, warmup; of several bars of one time the first to arrive counts. Warm-up rows feed the
+    state but do not act. With ``needs_position`` the state tracks the position the emitted actions imply.
+    """
+    return in_order(bars, ["symbol"], ["close", "warmup"], signal_steps(rule, needs_position),
+                    "prices array<double>, seen bigint, m0 double, m1 double, held boolean", "close double, action string", delay)
+
+
+def cooldown(entries: DataFrame, seconds: float = COOLDOWN_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """(symbol, ts, allowed, late): false within ``seconds`` of the last allowed entry. Entries (symbol, ts) of one time are one."""
+    span = int(seconds * 1_000_000)
+
+    def step(rows, memory):
+        last, out = memory[0] if memory else None, []
+        for at, *_ in rows:
+            ok = last is None or at - last >= span
+            last = at if ok else last
+            out.append((at, ok))
+        return out, (last,)
+
+    return in_order(entries.withColumn("one", F.lit(1)), ["symbol"], ["one"], step, "last bigint", "allowed boolean", delay)
+
+
+def _expiring(out: DataFrame, seconds: float) -> DataFrame:
+    return out.withColumnRenamed("ts", "tripped_at").withColumn(
+        "expires_at", F.timestamp_micros(F.unix_micros("tripped_at") + int(seconds * 1_000_000)))
+
+
+def loss_breaker(closes: DataFrame, key: str = "account", limit: int = LOSS_LIMIT, seconds: float = BREAKER_SECONDS,
+                 delay: str = "1 minute", order: tuple[str, ...] = ("pnl",)) -> DataFrame:
+    """A row per trip: ``limit`` losses in a row; a trip restarts the count. ``order`` tells closes of one time apart."""
+    def step(rows, memory):
+        streak, out = memory[0] if memory else 0, []
+        for at, pnl in rows:
             streak = streak + 1 if pnl < 0 else 0
             if streak >= limit:
-                out.append((group[0], ts, ts + span))
+                out.append((at, limit))
                 streak = 0
-        state.update((streak,))
-        yield pd.DataFrame(out, columns=[key, "tripped_at", "expires_at"])
+        return out, (streak,)
 
-    return closes.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, tripped_at timestamp, expires_at timestamp", "streak int", "append",
-        GroupStateTimeout.NoTimeout)
+    done = in_order(closes, [key], ["pnl"], step, "streak int", "losses int", delay, order)
+    return _expiring(done, seconds).select(key, "tripped_at", "expires_at", "late")
 
 
-def error_breaker(errors: DataFrame, key: str = "account", limit: int = ERROR_LIMIT,
-                  window_seconds: float = ERROR_WINDOW_SECONDS, seconds: float = BREAKER_SECONDS) -> DataFrame:
+def error_breaker(errors: DataFrame, key: str = "account", limit: int = ERROR_LIMIT, window_seconds: float = ERROR_WINDOW_SECONDS,
+                  seconds: float = BREAKER_SECONDS, delay: str = "1 minute", order: tuple[str, ...] = ()) -> DataFrame:
     """A row per error from the ``limit``-th on within a window anchored at its first error.
 
     A window ends only when an error comes later than ``window_seconds`` after its start, so
-    it is neither sliding nor a session.
+    it is neither sliding nor a session. ``order`` names the columns that tell errors of one time apart.
     """
-    width, span = int(window_seconds * 1_000_000_000), pd.Timedelta(seconds=seconds)
+    width = int(window_seconds * 1_000_000)
 
-    def step(group, batches, state):
-        start, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("ts")
+    def step(rows, memory):
+        start, count = memory or (None, 0)
         out = []
-        for ts in rows["ts"]:
-            if start is None or ts.value - start > width:
-                start, count = ts.value, 0
+        for at, *_ in rows:
+            if start is None or at - start > width:
+                start, count = at, 0
             count += 1
             if count >= limit:
-                out.append((group[0], ts, ts + span, count))
-        state.update((start, count))
-        yield pd.DataFrame(out, columns=[key, "tripped_at", "expires_at", "errors"])
+                out.append((at, count))
+        return out, (start, count)
 
-    return errors.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, tripped_at timestamp, expires_at timestamp, errors int", "start bigint, errors int",
-        "append", GroupStateTimeout.NoTimeout)
+    done = in_order(errors.withColumn("one", F.lit(1)), [key], ["one"], step, "start bigint, errors int", "errors int", delay, order)
+    return _expiring(done, seconds).select(key, "tripped_at", "expires_at", "errors", "late")
