@@ -4,10 +4,12 @@ Every function takes columns of a frame holding ``ord`` (position in the series)
 ``_blk``; windows never leave a block, so the caller must have copied enough
 look-back rows into it. ``LOOKBACK`` names the need per indicator.
 """
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.sequence import block_window, int_div, upto
+from tickloom.operators.sequence import affine, block_no, block_window, carry_in, int_div, split, summed, upto
 
 # The close buffer of the signal averages and the RSI / ATR lengths.
 BUFFER = 60
@@ -70,11 +72,11 @@ def with_long_averages(bars: DataFrame, keys: list[str], specs: dict[str, tuple[
 
     ``specs``: name -> (value column, seed length, seed position, k). The seed at that
     position is the mean of the last seed-length values. One carry is exact only while a weight
-    one sub-block back is below 2**-53 and its inverse is a finite double; other k are refused.
+    one sub-block back is below 2**-53 and its inverse is a finite double; ``with_running_averages`` takes any k.
     """
     for name, (_, _, _, k) in specs.items():
         if not 1e-250 < (1 - k) ** SUB <= 2.0 ** -53:
-            raise ValueError(f"{name}: the weight {k} is outside what sub-blocks of {SUB} rows hold exactly")
+            raise ValueError(f"{name}: one carry does not hold the weight {k}; with_running_averages does")
     w = block_window(keys)
     sub = Window.partitionBy(*keys, "_blk", "_sub").orderBy("ord")
     r = F.pmod(F.col("ord"), F.lit(SUB)).cast("double")
@@ -96,6 +98,46 @@ def with_long_averages(bars: DataFrame, keys: list[str], specs: dict[str, tuple[
     return out.drop("_sub", *terms, *locals_, *carries)
 
 
+def with_running_averages(bars: DataFrame, keys: list[str], specs: dict[str, tuple[str, int, int, float]]) -> DataFrame:
+    """The averages of ``with_long_averages`` for any k from 0 to 1, over numbered bars that need no look-back copies.
+
+    A row is a map of the average before it: x / length is added while the seed is summed, then e becomes d*e + k*x with
+    d = 1 - k. Inside a sub-block the maps have a closed form, a running sum of terms weighted by powers of d; what a
+    sub-block does as a whole is one pair (a, b), and these are composed over all earlier sub-blocks.
+    Sub-blocks are short enough for the powers of the smallest d to be finite.
+    """
+    decays = [1 - k for *_, k in specs.values() if k < 1]
+    longest = min([SUB, *(int(-460 / math.log(d)) for d in decays if 0 < d < 1)])
+    width = 1 << max(0, int(math.log2(max(1, longest))))
+    by = [*keys, "_sub"]
+    rows = bars.withColumn("_sub", block_no(F.col("ord"), width))
+    terms = {}
+    for name, (x, length, at, k) in specs.items():
+        # decays since the row before the sub-block
+        steps = F.greatest(F.col("ord") - at, F.lit(0)) - F.greatest(F.col("_sub") * width - 1 - at, F.lit(0))
+        added = F.when(F.col("ord") > at, F.col(x) * k if k < 1 else F.lit(0.0)).when(F.col("ord") > at - length, F.col(x) / length)
+        terms[f"_n_{name}"] = steps.cast("double")
+        terms[f"_x_{name}"] = F.coalesce(added, F.lit(0.0)) * _power(k, -steps)
+    rows = split(rows.withColumns(terms), by)
+    wholes = summed(rows, by, [F.struct(F.max(f"_n_{name}").alias("n"), F.sum(f"_x_{name}").alias("x")).alias(f"_s_{name}") for name in specs])
+    wholes = wholes.withColumns({f"_s_{name}": affine(_power(k, F.col(f"_s_{name}.n")), F.col(f"_s_{name}.x") * _power(k, F.col(f"_s_{name}.n")))
+                                 for name, (*_, k) in specs.items()})
+    carried = carry_in(wholes, keys, "_sub", {f"_c_{name}": (f"_s_{name}", "affine") for name in specs})
+    window = Window.partitionBy(*by).orderBy("ord")
+    rows = rows.withColumns({f"_l_{name}": F.sum(f"_x_{name}").over(upto(window)) for name in specs})
+    out = rows.join(carried.select(*by, *(f"_c_{name}" for name in specs)), by)
+    result = {}
+    for name, (x, _, at, k) in specs.items():
+        value = (F.col(f"_l_{name}") + F.col(f"_c_{name}.b")) * _power(k, F.col(f"_n_{name}"))
+        result[name] = F.when(F.col("ord") > at, F.col(x) if k == 1 else value).when(F.col("ord") == at, value)
+    return out.withColumns(result).drop("_sub", *terms, *(f"_{p}_{name}" for p in "lc" for name in specs))
+
+
+def _power(k: float, steps: Column) -> Column:
+    """(1 - k) ** steps; for k = 1 nothing before counts, and the seed is not weighted."""
+    return F.pow(F.lit(1.0 - k), steps.cast("double")) if k < 1 else F.lit(1.0)
+
+
 def long_ema_spec(period: int) -> tuple[str, int, int, float]:
     return ("close", period, period - 1, 2.0 / (period + 1))
 

@@ -64,17 +64,39 @@ def mark_coverage(marked: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(used).alias("avg_staleness_ms"), F.max(used).alias("max_staleness_ms"))
 
 
+def aligned_ranges(first: Column, last: Column, levels: int = 62) -> Column:
+    """The aligned ranges (level, place) that make up the buckets from ``first`` to ``last``.
+
+    Range (l, p) holds buckets p * 2**l to (p + 1) * 2**l - 1. There are at most two of each level, so no more than twice
+    the binary logarithm of the number of buckets.
+    """
+    def of(level: Column) -> Column:
+        low = F.negative(F.call_function("shiftright", F.negative(first), level))  # rounded up
+        high = F.call_function("shiftright", last + 1, level)
+        odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+        piece = lambda place: F.struct(level.alias("level"), place.alias("place"))
+        return F.array_compact(F.array(F.when((low < high) & odd(low), piece(low)), F.when((low < high) & odd(high), piece(high - 1))))
+
+    top = F.least(F.lit(levels), F.ceil(F.log2((last - first + 2).cast("double"))).cast("int"))
+    return F.when(last >= first, F.flatten(F.transform(F.sequence(F.lit(0), top), of)))
+
+
 def interval_join(spans: DataFrame, events: DataFrame, on: list[str], start: str, end: str, time: str,
                   bucket: Callable[[Column], Column]) -> DataFrame:
-    """Pairs with start < time < end, as an equi-join on (on, time bucket).
+    """Pairs with start < time < end, as an equi-join on (on, aligned range of time buckets).
 
-    A span is copied into every bucket it touches, so bucket width trades copies of long
-    spans against rows per bucket. ``bucket`` maps a time column to a growing number.
+    A span is cut into aligned ranges of buckets, so a long one costs a few rows, not one for each bucket it covers. An
+    event has one row for each level of ranges in use; these levels, at most 63 numbers, are read from the spans first.
+    ``bucket`` maps a time column to a growing number.
     """
-    s = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-    e = events.withColumn("_bucket", bucket(F.col(time)))
+    s = spans.withColumn("_range", F.explode(aligned_ranges(bucket(F.col(start)).cast("bigint"), bucket(F.col(end)).cast("bigint"))))
+    used = sorted(r.level for r in s.select("_range.level").distinct().collect())
+    s = s.withColumns({"_level": F.col("_range.level"), "_place": F.col("_range.place")}).drop("_range")
+    levels = F.array(*[F.lit(x) for x in used]) if used else F.array().cast("array<int>")
+    e = events.withColumn("_level", F.explode(levels))
+    e = e.withColumn("_place", F.call_function("shiftright", bucket(F.col(time)).cast("bigint"), F.col("_level")))
     inside = (F.col(time) > F.col(start)) & (F.col(time) < F.col(end))
-    return s.join(e, [*on, "_bucket"]).filter(inside).drop("_bucket")
+    return s.join(e, [*on, "_level", "_place"]).filter(inside).drop("_level", "_place")
 
 
 LOOKUP_SALTS = 16

@@ -42,7 +42,26 @@ def time_chunk(ts: str | Column, seconds: float) -> Column:
     return int_div(micros(ts), int(seconds * 1_000_000))
 
 
+#: A map x -> a * x + b that changes nothing; kind "affine" composes such structs (a, b).
+IDENTITY = {"a": 1.0, "b": 0.0}
+
+
+def affine(a: Column, b: Column) -> Column:
+    return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+
+
+def compose(earlier: Column, later: Column) -> Column:
+    """The map that does ``earlier`` and then ``later``."""
+    return affine(earlier["a"] * later["a"], later["a"] * earlier["b"] + later["b"])
+
+
+def _identity() -> Column:
+    return affine(*[F.lit(x) for x in IDENTITY.values()])
+
+
 def _running(kind: str, value: Column, window) -> Column:
+    if kind == "affine":  # maps are composed in order; only summaries of blocks are, at most FAN in a window
+        return F.aggregate(F.collect_list(value).over(window), _identity(), compose)
     if kind == "sum":
         return F.sum(value).over(window)
     if kind == "prod":
@@ -59,6 +78,9 @@ def _running(kind: str, value: Column, window) -> Column:
 def _total(kind: str, value: Column, order: str) -> Column:
     if kind == "last":
         return F.max_by(value, F.when(value.isNotNull(), F.col(order)))
+    if kind == "affine":
+        rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), value.alias("map"))))
+        return F.aggregate(rows, _identity(), lambda whole, row: compose(whole, row["map"]))
     return {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min}[kind](value)
 
 
@@ -66,6 +88,8 @@ def merge(kind: str, earlier: Column, later: Column) -> Column:
     """Combine two partial results of a scan, ``earlier`` coming first in the order."""
     if kind == "last":
         return F.coalesce(later, earlier)
+    if kind == "affine":
+        return compose(F.coalesce(earlier, _identity()), F.coalesce(later, _identity()))
     both = {
         "sum": earlier + later,
         "prod": earlier * later,
@@ -160,8 +184,10 @@ def scan(df: DataFrame, keys: list[str], order: list[str], blk: str,
     """Running value per key over any length of series.
 
     ``specs`` maps an output name to (column, kind); with ``inclusive=False`` the
-    current row is left out.
+    current row is left out. Kind "affine" is for summaries (``carry_in``), not for rows.
     """
+    if any(kind == "affine" for _, kind in specs.values()):
+        raise ValueError("rows of affine maps have a closed form: see with_running_averages")
     by = [*keys, blk]
     frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)

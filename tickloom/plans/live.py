@@ -1,8 +1,9 @@
 """Queries of the live parts in batch form, with their DuckDB SQL."""
 from pyspark.sql import functions as F
 
-from tickloom.functions import scalars as sc
-from tickloom.operators import anchored
+from tickloom.functions import indicators as ind, scalars as sc
+from tickloom.operators import anchored, ranges
+from tickloom.operators.sequence import blocked, owned
 from tickloom.plans import derive
 from tickloom.plans.catalog import BAR_MS, cut, query
 from tickloom.plans.oracle import W, cte, fold_ema, oracle, r
@@ -78,3 +79,43 @@ _recursive("cooldown_batch", """SELECT t.symbol, t.ts, w.ts IS NOT NULL AS allow
 _recursive("error_trips", """SELECT symbol, ts AS tripped_at, ts + INTERVAL 1 HOUR AS expires_at, nth AS errors FROM
  (SELECT t.symbol, t.ts, row_number() OVER (PARTITION BY t.symbol, w.ts ORDER BY t.ts, t.seq) AS nth
   FROM ticks t ASOF JOIN errs_w w ON t.symbol = w.symbol AND t.ts >= w.ts) WHERE nth >= 4""", "errs", "errs_n")
+
+
+# Averages and paths over whole histories
+
+ANY_PERIODS = (1, 2, 50, 200, 1000)
+
+
+@query
+def averages_any(spark, sf):
+    """Full-history averages of any period: exponential ones of 1 to 1,000 bars, Wilder's true range of 1 and 200."""
+    k = ["symbol"]
+    b = owned(blocked(derive.bars(spark, sf), back=1).withColumn("_tr", ind.true_range(k))).drop("_blk")
+    specs = {f"ema{p}": ind.long_ema_spec(p) for p in ANY_PERIODS} | {f"atr{p}": ind.wilder_spec(period=p) for p in (1, 200)}
+    return ind.with_running_averages(b, k, specs).select("symbol", "ts", *specs)
+
+
+cte("any0", "SELECT *, " + ", ".join(
+    f"CASE WHEN ord >= {p - 1} THEN {fold_ema('all_close', p)} END AS ema{p}" for p in ANY_PERIODS) + ", " + ", ".join(
+    f"CASE WHEN ord >= {p} THEN list_reduce(all_tr[{p + 1}:], lambda a, x: (a * {p - 1} + x) / {p}, "
+    f"list_reduce(all_tr[1:{p}], lambda a, x: a + x, 0.0::DOUBLE) / {p}) END AS atr{p}" for p in (1, 200)) + " FROM trs", "trs")
+oracle("averages_any", "SELECT symbol, ts, " + ", ".join(r(c, c) for c in (*(f"ema{p}" for p in ANY_PERIODS), "atr1", "atr200")) + " FROM any0", "any0")
+
+
+@query
+def external_path(spark, sf):
+    """Best and worst price on the way of an external ledger: each seventh bar, held up to 700 bars."""
+    b = derive.bars(spark, sf)
+    n = b.select("symbol", "ord", "ts", "open").withColumn("_to", F.col("ord") + (F.col("ord") * 37) % 700)
+    ends = b.select("symbol", F.col("ord").alias("_to"), F.col("ts").alias("exit_time"))
+    t = n.where("ord % 7 = 0").join(ends, ["symbol", "_to"]).select(
+        "symbol", F.col("ts").alias("entry_time"), "exit_time", F.col("open").alias("entry_price"))
+    path = ranges.external_path(t, b, ["symbol"], ["symbol", "entry_time"], settle=lambda df: cut(spark, df))
+    return path.select("symbol", "entry_time", "exit_time", "entry_price", (F.col("exit_ord") - F.col("entry_ord")).alias("holding_bars"), "mfe", "mae")
+
+
+oracle("external_path", f"""SELECT a.symbol, a.ts AS entry_time, any_value(z.ts) AS exit_time, {r('any_value(a.open)', 'entry_price')},
+ (any_value(z.ord) - a.ord)::BIGINT AS holding_bars, {r('greatest((max(p.high) / any_value(a.open) - 1) * 100, 0)', 'mfe')},
+ {r('least((min(p.low) / any_value(a.open) - 1) * 100, 0)', 'mae')}
+ FROM bars a JOIN bars z ON z.symbol = a.symbol AND z.ord = a.ord + (a.ord * 37) % 700
+ JOIN bars p ON p.symbol = a.symbol AND p.ord BETWEEN a.ord AND z.ord WHERE a.ord % 7 = 0 GROUP BY a.symbol, a.ts, a.ord""", "bars")
