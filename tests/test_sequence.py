@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
+from tickloom.operators import joins, quantiles, ranges
 from tickloom.operators import sequence as sq
 from tickloom.operators.positions import hold
 from tickloom.operators.quantiles import exact_quantiles, upper_median
@@ -106,11 +107,96 @@ def test_exact_order_statistics_under_skew(spark):
     assert exact_quantiles(df, [], "x", {"q": 1.0}).collect()[0].q == 500.0
 
 
-@pytest.mark.parametrize("period", [1, 2, 3, 200])
-def test_long_averages_refuse_periods_they_cannot_hold(spark, period):
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_order_statistics_of_many_values(spark, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "BUCKET_ROWS", limit)  # small: buckets are cut again
+    rng = random.Random(4)
+    rows = [(k, rng.gauss(0, 1), float(rng.randrange(50)), None) for k in ["hot"] * 20000 + ["cold"] * 300]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double")
+    at = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q99": 0.99, "top": 1.0}
+    got = {(r.k, r.column): r for r in exact_quantiles(df, ["k"], ["x", "y", "z"], at).collect()}
+    assert set(got) == {(k, c) for k in ("hot", "cold") for c in "xy"}
+    for (k, c), r in got.items():
+        xs = sorted(row["kxy".index(c)] for row in rows if row[0] == k)
+        for name, q in at.items():
+            p = (len(xs) - 1) * q
+            assert r[name] == pytest.approx(xs[int(p)] + (xs[min(int(p) + 1, len(xs) - 1)] - xs[int(p)]) * (p - int(p)))
+
+
+def test_look_ups_spread_hot_keys_only(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LOOKUP_ROWS", 100)
+    rows = [("hot", i) for i in range(1000)] + [(f"k{i}", i) for i in range(1000)] + [(None, 7)]
+    df = spark.createDataFrame(rows, "k string, i long")
+    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(900)], "k string, v long")
+    out = joins.lookup(df, table, ["k"])
+    got = {(r.k, r.i): r.v for r in out.collect()}
+    assert got == {(k, i): 1 if k == "hot" else i if k and i < 900 else None for k, i in rows} and out.columns == ["k", "i", "v"]
+    copies = [r for r in _rows_of(out, "Generate")]
+    assert copies == [910]  # ten of the hot row, one of each other
+
+
+def _rows_of(df, node):
+    """Output rows of the plan nodes of a kind, from the executed plan."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name.startswith(node) and p.metrics().contains("numOutputRows"):
+            found.append(p.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
+def test_long_spans_are_cut_into_few_ranges(spark):
+    spans = [("a", 0, 100_000), ("a", 17, 18), ("a", -900, 70), ("a", 5, 5), ("b", 3, 4000)]
+    events = [(k, t) for k in "ab" for t in range(-1000, 5000, 7)]
+    s = spark.createDataFrame(spans, "k string, lo long, hi long")
+    out = joins.interval_join(s, spark.createDataFrame(events, "k string, t long"), ["k"], "lo", "hi", "t", lambda c: c)
+    assert {tuple(r) for r in out.select("k", "lo", "hi", "t").collect()} == {
+        (k, lo, hi, t) for k, lo, hi in spans for kk, t in events if k == kk and lo < t < hi}
+    for lo, hi in [(0, 100_000), (-900, 70), (12345, 99_999), (3, 3)]:
+        one = spark.range(1).select(F.explode(joins.aligned_ranges(F.lit(lo), F.lit(hi))).alias("p")).select("p.*").collect()
+        assert len(one) <= 2 * (hi - lo + 1).bit_length()
+        assert sorted(x for level, place in one for x in range(place << level, (place + 1) << level)) == list(range(lo, hi + 1))
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 50, 200, 1000])
+def test_averages_of_any_period(spark, period):
+    rng = random.Random(period)
+    xs = [100 + rng.uniform(-5, 5) for _ in range(4 * ind.SUB + 30)]
+    bars = spark.createDataFrame([("a", i, x) for i, x in enumerate(xs)], "symbol string, ord bigint, close double")
+    specs = {"e": ind.long_ema_spec(period), "w": ind.wilder_spec("close", period)}
+    got = {r.ord: r for r in ind.with_running_averages(bars, ["symbol"], specs).collect()}
+    for name, (_, length, at, k) in specs.items():
+        e = sum(xs[at - length + 1:at + 1]) / length
+        assert all(got[i][name] is None for i in range(at)) and got[at][name] == pytest.approx(e, rel=1e-10)
+        for i in range(at + 1, len(xs)):
+            e = xs[i] * k + e * (1 - k)
+            assert got[i][name] == pytest.approx(e, rel=1e-10)
+
+
+def test_one_carry_refuses_what_it_cannot_hold(spark):
     bars = spark.createDataFrame([("a", 0, 0, 1.0)], "symbol string, ord bigint, _blk bigint, close double")
-    with pytest.raises(ValueError, match="outside"):
-        ind.with_long_averages(bars, ["symbol"], {"e": ind.long_ema_spec(period)})
+    with pytest.raises(ValueError, match="with_running_averages"):
+        ind.with_long_averages(bars, ["symbol"], {"e": ind.long_ema_spec(200)})
+
+
+def test_extremes_of_spans(spark, monkeypatch):
+    rng = random.Random(12)
+    series = [("a", i, rng.random(), rng.random()) for i in range(700) if i % 50 != 3] + [("b", i, 1.0, -float(i)) for i in range(5)]
+    spans = [(i, "a", min(x, y), max(x, y)) for i in range(300) for x, y in [(rng.randrange(700), rng.randrange(700))] if x % 50 != 3 and y % 50 != 3]
+    spans += [(900, "a", 5, 4), (901, "b", 0, 4), (902, "c", 0, 1), (903, "a", None, 4)]
+    rows = spark.createDataFrame(series, "k string, ord long, high double, low double")
+    got = ranges.span_extremes(spark.createDataFrame(spans, "id long, k string, i long, j long"), rows, ["k"], "i", "j", "high", "low", ["id"], block=8)
+    for r in got.collect():
+        inside = [s for s in series if s[0] == r.k and r.i is not None and r.i <= s[1] <= r.j]
+        assert (r.top, r.bottom) == ((max(s[2] for s in inside), min(s[3] for s in inside)) if inside else (None, None))
 
 
 def test_long_averages_over_several_sub_blocks(spark):

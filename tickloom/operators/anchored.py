@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.joins import asof_join
 from tickloom.operators.sequence import int_div, with_ordinal
+from tickloom.session import settled
 
 #: Width in microseconds of the blocks of time that searches run in.
 CHUNK = 86_400_000_000
@@ -27,7 +28,7 @@ def successors(times: DataFrame, keys: list[str], at: str, span: int, chunk: int
     return found.select(*keys, at, (-F.col("_m.at")).alias("next"))
 
 
-def openers(times: DataFrame, keys: list[str], at: str, span: int, settle: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint,
+def openers(times: DataFrame, keys: list[str], at: str, span: int, settle: Callable[[DataFrame], DataFrame] = settled,
             chunk: int = CHUNK) -> DataFrame:
     """(keys, at): the times that open a window of ``span`` microseconds.
 
@@ -50,7 +51,7 @@ def _distinct_times(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 
 def allowed_entries(entries: DataFrame, keys: list[str], seconds: float, ts: str = "ts",
-                    settle: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+                    settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """(keys, ts, allowed) for each time of an entry: false within ``seconds`` of the last allowed one."""
     times = _distinct_times(entries, keys, ts)
     found = openers(times, keys, "at_us", int(seconds * 1_000_000), settle).withColumn("_open", F.lit(True))
@@ -59,7 +60,7 @@ def allowed_entries(entries: DataFrame, keys: list[str], seconds: float, ts: str
 
 
 def trips(errors: DataFrame, keys: list[str], order: list[str], limit: int, window_seconds: float, seconds: float, ts: str = "ts",
-          settle: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+          settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """(keys, tripped_at, expires_at, errors): errors from the ``limit``-th on within a window anchored at its first error.
 
     A window holds errors up to and with ``window_seconds`` after its first; ``order`` (ts first) tells errors apart.

@@ -6,7 +6,7 @@ from tickloom.functions import indicators as ind
 from tickloom.functions.scalars import ratio
 from tickloom.operators.joins import lookup
 from tickloom.operators.metrics import profit_factor
-from tickloom.operators.quantiles import exact_quantiles
+from tickloom.operators.quantiles import exact_quantiles, wide_medians
 from tickloom.operators.sequence import BLOCK, block_window, blocked, owned
 
 # Bucket edges and labels.
@@ -176,9 +176,7 @@ def excursion_table(trades: DataFrame, keys: list[str]) -> DataFrame:
     by = [*keys, "outcome"]
     mean = t.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg("mfe").alias("avg_mfe"),
                               F.avg("mae").alias("avg_mae"))
-    for c in ("mfe", "mae"):
-        mean = mean.join(exact_quantiles(t, by, c, {f"median_{c}": 0.5}), by, "left")
-    return mean
+    return mean.join(wide_medians(t, by, ["mfe", "mae"]), by, "left")
 
 
 def give_back(trades: DataFrame, keys: list[str], reached: float = 1.0) -> DataFrame:
@@ -201,8 +199,8 @@ def cost_decomposition(trades: DataFrame, keys: list[str]) -> DataFrame:
     a = trades.groupBy(*keys).agg(
         F.avg("gross_return_pct").alias("avg_gross"), F.avg("net_return_pct").alias("avg_net"),
         F.avg("cost_pct").alias("avg_cost"))
-    for c in ("gross", "net"):
-        a = a.join(exact_quantiles(trades, keys, f"{c}_return_pct", {f"median_{c}": 0.5}), keys)
+    both = wide_medians(trades.withColumns({c: F.col(f"{c}_return_pct") for c in ("gross", "net")}), keys, ["gross", "net"])
+    a = a.join(both, keys)
     r = F.when(F.col("avg_cost") > 0, F.abs("avg_gross") / F.col("avg_cost"))
     return a.withColumns({
         "edge_cost_ratio": r,

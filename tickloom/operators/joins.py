@@ -99,19 +99,27 @@ def interval_join(spans: DataFrame, events: DataFrame, on: list[str], start: str
     return s.join(e, [*on, "_level", "_place"]).filter(inside).drop("_level", "_place")
 
 
-LOOKUP_SALTS = 16
+#: Rows of one key that a look-up leaves in one task.
+LOOKUP_ROWS = 1 << 20
 
 
-def lookup(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", spread: list[str] | None = None
-           ) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", spread: list[str] | None = None,
+           counts: DataFrame | None = None) -> DataFrame:
     """Join with a table of one row per key, hot keys of ``df`` spread over several tasks.
 
-    The table is copied per salt; it must be far smaller than ``df``. ``spread`` names the
-    columns that tell rows of one key apart (default: all).
+    A counting pass over the keys finds those with more than ``LOOKUP_ROWS`` rows. Only their rows are salted, and only
+    their table rows are copied, one for each ``LOOKUP_ROWS`` rows; all other keys are joined as they are. There are at
+    most rows / ``LOOKUP_ROWS`` hot keys. ``spread`` names the columns that tell rows of one key apart (default: all);
+    ``counts`` (on, _rows) saves the counting pass.
     """
-    salt = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(LOOKUP_SALTS)).cast("int")
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
-    return df.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")) if counts is None else counts
+    hot = counts.where(F.col("_rows") > LOOKUP_ROWS).select(
+        *on, F.ceil(F.col("_rows") / LOOKUP_ROWS).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*(spread or df.columns)), parts).cast("int")
+    rows = df.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_parts")
+    copies = table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return rows.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def keep_first(df: DataFrame, by: list[str], order: str) -> DataFrame:

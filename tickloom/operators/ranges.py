@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.sequence import int_div
+from tickloom.session import settled
 
 BLOCK_ROWS = 128
 
 
 def block_tables(rows: DataFrame, keys: list[str], high: str, low: str, widest: int, block: int = BLOCK_ROWS, ord_col: str = "ord",
-                 settle: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+                 settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """(keys, level, from, top, bottom): extremes of 2**level blocks from block ``from`` on, for levels up to that of ``widest`` blocks."""
     level = rows.groupBy(*keys, int_div(F.col(ord_col), block).alias("from")).agg(F.max(high).alias("top"), F.min(low).alias("bottom"))
     level = settle(level)
@@ -32,7 +33,7 @@ def block_tables(rows: DataFrame, keys: list[str], high: str, low: str, widest:
 
 
 def span_extremes(spans: DataFrame, rows: DataFrame, keys: list[str], first: str, last: str, high: str, low: str, span_key: list[str],
-                  block: int = BLOCK_ROWS, ord_col: str = "ord", settle: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+                  block: int = BLOCK_ROWS, ord_col: str = "ord", settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """``spans`` with ``top`` and ``bottom``: the extremes of ``high`` and ``low`` over rows ``first`` to ``last`` (both with it).
 
     ``span_key`` tells spans apart. A span without rows, or with a null or backward end, has nulls.
@@ -75,7 +76,7 @@ def span_extremes(spans: DataFrame, rows: DataFrame, keys: list[str], first: str
 
 
 def external_path(trades: DataFrame, bars: DataFrame, keys: list[str], trade_key: list[str],
-                  settle: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+                  settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """Trades (keys, entry_time, exit_time, entry_price) of any ledger with ``mfe`` and ``mae`` in percent over entry to exit bar.
 
     Times are those of bars; a trade whose entry or exit is no bar, or that has no entry price above 0, gets nulls.

@@ -10,7 +10,7 @@ from tickloom.operators import carry, diagnostics as dg, gates, grid, joins, met
 from tickloom.operators import positions as pos, quality as q, quantiles as qt, reconcile as rc, resample as rs
 from tickloom.operators.sequence import block_no, block_window, blocked, owned, scan, time_chunk
 from tickloom.plans import derive
-from tickloom.session import ensure_checkpoint_dir
+from tickloom.session import settled
 
 CAPITAL = 10_000.0
 BAR_MS = 900_000
@@ -42,12 +42,8 @@ def finish(df: DataFrame) -> DataFrame:
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """End the lineage of a small table that several later steps read, in the checkpoint folder the session names.
-
-    A session that names none gets a table in its warehouse folder, which all executors share.
-    """
-    ensure_checkpoint_dir(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    return df.checkpoint()
+    """End the lineage of a small table that several later steps read."""
+    return settled(df)
 
 
 # --- shared steps -------------------------------------------------------------------

@@ -50,3 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if folder and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def settled(df):
+    """The frame, its lineage ended by a checkpoint in the folder the session names.
+
+    A session that names none gets a folder in its warehouse folder, which all executors share.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    return df.checkpoint()
