@@ -58,6 +58,27 @@ def test_near_duplicates(docs, corpus, k, limits, monkeypatch):
         i: (len(sets[i]), root[i], root[i] == i) for i in sets}
 
 
+def test_one_large_group_of_near_copies(docs):
+    """5,000 copies with one word changed, and 60 with so many changed that only some still reach another."""
+    rng = random.Random(9)
+    base = prose(rng, 60).split()
+    rows = [(1000, " ".join(base))]
+    for i in range(5060):
+        words = list(base)
+        for _ in range(1 if i < 5000 else rng.randint(3, 7)):
+            words[rng.randrange(len(words))] = f"edit{rng.randint(0, 9999)}"
+        rows.append((2000 + i, " ".join(words)))
+    sets = {i: shingles(t, 2) for i, t in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    joined = {i for i in sets if near(1000, i)}
+    while more := {i for i in set(sets) - joined if any(near(i, j) for j in joined)}:
+        joined |= more
+    alone = set(sets) - joined
+    assert alone and not any(near(a, b) for a in alone for b in alone if a < b)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 2, 80).collect()}
+    assert got == {i: 1000 if i in joined else i for i in sets}
+
+
 def test_near_duplicates_odd_tables(docs):
     assert minhash.near_duplicates(docs([])).collect() == []
     got = minhash.near_duplicates(docs([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, None)])).collect()
@@ -80,13 +101,15 @@ def test_pairs_of_large_nodes_meet_at_the_deepest_level():
     other = np.where(rng.random(values.shape) < 0.8, values, rng.integers(0, 1 << 32, values.shape, dtype=np.uint32))
     sigs = np.concatenate([values, other]).astype("<u4")
     batch = pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(2 * n)), *[pa.array(np.zeros(2 * n, np.int64))] * 2, pa.array([s.tobytes() for s in sigs], pa.binary())],
-        names=["rep", "s0", "s1", "sig"])
+        [pa.array(np.arange(2 * n)), *[pa.array(np.zeros(2 * n, np.int64))] * 4, pa.array([s.tobytes() for s in sigs], pa.binary())],
+        names=["rep", "s0", "s1", "component", "home", "sig"])
     lost, one = set(range(n)), None
     for tree in range(minhash.TREES):
         met = {}
-        for part in minhash._paths(minhash.MAX_LEVELS - 1, tree)([batch]):
-            for path, rep in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+        above = {up for part in minhash._paths(tree, minhash.MAX_LEVELS - 2)([batch]) for up in part.column("path").to_pylist()}
+        for part in minhash._paths(tree, minhash.MAX_LEVELS)([batch]):
+            assert above.issuperset(part.column("up").to_pylist())
+            for path, rep in zip(part.column("path").to_pylist(), part.column("rep").to_pylist(), strict=True):
                 if rep < n:
                     met.setdefault(path, set()).add(rep)
                 elif rep - n in met.get(path, ()):

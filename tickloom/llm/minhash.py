@@ -45,6 +45,8 @@ MAX_LEVELS = 4
 TREES = 3
 #: Blocks of a group compared in one task, and shingles held at once there.
 APART_ROWS, GROUP_ROWS, COLUMNS = 1024, 2048, 2048
+#: Documents whose ids are broadcast to the scan of the texts: 8 MB.
+FEW_IDS = 1 << 20
 #: Of 128 sketch bits a pair of similarity 0.8 differs in 12.8 on average, deviation 3.4; beyond 34 in 2.5e-8 of the cases.
 SKETCH_BITS = 34
 
@@ -108,38 +110,41 @@ def branch(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros(0, int), np.zeros(0, U64))
 
 
-def _paths(levels: int, tree: int = 0):
-    """Rows (path, rep, s0, s1) below the roots of a tree, or below the given nodes."""
+_SPOT = "path long, up long, rep long, s0 long, s1 long, component long, home long"
+
+
+def _paths(tree: int, levels: int):
+    """Rows of ``_SPOT`` for members (rep, s0, s1, sig, component, home): their nodes ``levels`` below the roots of a tree.
+
+    ``up`` is the node two levels above, or the root where there is none.
+    """
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            named = "path" in batch.schema.names
-            rep, s0, s1 = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                           for c in ("rep", "s0", "s1"))
+            same = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                    for c in ("rep", "s0", "s1", "component", "home")}
             raw = batch.column(batch.schema.get_field_index("sig")).to_pylist()
             for lo in range(0, len(raw), 2000):
                 sigs = np.frombuffer(b"".join(raw[lo:lo + 2000]), "<u4").reshape(-1, POSITIONS)
                 n = len(sigs)
-                if named:
-                    path = batch.column(batch.schema.get_field_index("path")).to_numpy()[lo:lo + n].view(U64)
-                    row = np.arange(n)
-                else:
-                    row = np.tile(np.arange(n), BRANCHES)
-                    place = np.repeat(np.arange(BRANCHES) * (POSITIONS // BRANCHES) + 2 * tree, n)
-                    path = mix(mix(place.astype(U64) + U64(99)) + sigs[row, place])
-                for _ in range(levels):
-                    up, path = branch(path, sigs[row])
-                    row = row[up]
-                out = {"path": path.view(np.int64), "rep": rep[lo:lo + n][row], "s0": s0[lo:lo + n][row], "s1": s1[lo:lo + n][row]}
+                row = np.tile(np.arange(n), BRANCHES)
+                place = np.repeat(np.arange(BRANCHES) * (POSITIONS // BRANCHES) + 2 * tree, n)
+                path = mix(mix(place.astype(U64) + U64(99)) + sigs[row, place])
+                up = path
+                for level in range(2, levels + 1):
+                    above, path = branch(path, sigs[row])
+                    row = row[above]
+                    up = path if level <= levels - 2 else up[above]
+                out = {"path": path.view(np.int64), "up": up.view(np.int64), **{c: v[lo:lo + n][row] for c, v in same.items()}}
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], names=list(out))
-    return run
+    return tidy(run)
 
 
-def _sets(k: int):
+def _sets(k: int, slices):
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(zipped_slices(batch.column(1)), k)]
+            sets = [s.view(np.int64) for s in shingle_sets(slices(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["doc_id", "members"])
     return run
@@ -149,10 +154,22 @@ def _close(a0, a1, b0, b1) -> Column:
     return F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) <= SKETCH_BITS
 
 
-def full_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, members): the full sets of the documents of pairs (a, b)."""
+def full_sets(docs: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, members): the full sets of the documents of pairs (a, b), beside those already ``known``.
+
+    Texts of at most ``FEW_IDS`` documents are picked in the scan and go nowhere; those of more are shuffled compressed.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return stored(zipped_text(keyed_text(docs)).join(ids, "doc_id").mapInArrow(tidy(_sets(k)), "doc_id long, members array<long>"))
+    if known is not None:
+        ids = ids.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+    ids = stored(ids)
+    text = keyed_text(docs)
+    if ids.count() <= FEW_IDS:
+        rows = text.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(tidy(_sets(k, text_slices)), "doc_id long, members array<long>")
+    else:
+        rows = zipped_text(text).join(ids, "doc_id").mapInArrow(tidy(_sets(k, zipped_slices)), "doc_id long, members array<long>")
+    made = stored(rows)
+    return made if known is None else known.union(made)
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,52 +258,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = (feats.join(names.where("doc_id = rep").select("rep").distinct(), feats.doc_id == F.col("rep"))
                .select("rep", "s0", "s1", "sig").dropDuplicates(["rep"]))
     members = stored(members)
-    spots = stored(members.mapInArrow(tidy(_paths(1)), "path long, rep long, s0 long, s1 long"))
+    plain = members.withColumns({"component": F.col("rep"), "home": F.col("rep")})
+    spots = stored(plain.mapInArrow(_paths(0, 2), _SPOT))
 
     nodes = (spots.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("top"),
                                        F.min_by("s0", "rep").alias("t0"), F.min_by("s1", "rep").alias("t1"))
              .where("n > 1"))
-    rows = spots.join(nodes, "path")
-    stars = rows.where((F.col("rep") != F.col("top")) & _close("s0", "s1", "t0", "t1"))
+    stars = spots.join(nodes, "path").where((F.col("rep") != F.col("top")) & _close("s0", "s1", "t0", "t1"))
     pairs = stored(stars.select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct())
     sets = full_sets(docs, pairs, shingle)
-    tried = measured(pairs, sets)
-    links = _similar(tried, percent)
+    links = _similar(measured(pairs, sets), percent)
     labels = components(links)
     homes = stored(pairs.select("a", "b").union(pairs.select("a", F.col("a").alias("b")).distinct())
                    .groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("home")))
     links = links.union(group_links(homes, sets, labels, percent))
     labels = components(links)
 
-    rows, wide = rows.select("path", "rep", "s0", "s1"), None
+    wide = None
     for tree in range(TREES):
-        if tree:
-            spots = stored(members.join(wide, "rep").mapInArrow(tidy(_paths(1, tree)), "path long, rep long, s0 long, s1 long"))
-            rows = spots.join(spots.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path"), "path")
-        level, rows = 2, rows.join(homes, "rep", "left")
+        level, large = 2, None
         while True:
-            rows = (rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-                    .withColumn("component", F.coalesce("component", "rep")))
-            kinds = rows.groupBy("path", "component").agg(F.count("*").alias("n"))
-            nodes = (kinds.groupBy("path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("main"),
-                                               F.count("*").alias("kinds"))
-                     .where("kinds > 1").select("path", (F.col("n") - F.col("most")).alias("apart"), "main"))
-            rows = stored(rows.join(nodes, "path"))
+            # labels and homes meet the members, one row each, before these are spread over their nodes
+            base = members if wide is None else members.join(wide, "rep")
+            known = (base.join(homes, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+                     .withColumns({"home": F.coalesce("home", "rep"), "component": F.coalesce("component", "rep")}))
+            rows = known.mapInArrow(_paths(tree, level), _SPOT)
+            if large is not None:
+                rows = rows.join(large.select(F.col("path").alias("up")), "up", "left_semi")
+            rows = stored(rows.drop("up"))
+            nodes = stored(_open_nodes(rows))
             last = level >= MAX_LEVELS
-            near = rows if last else rows.where(F.col("apart") <= NODE_LIMIT)
-            pairs = stored(_compare(near).distinct())
-            found = _similar(measured(pairs, full_sets(docs, pairs, shingle)), percent)
+            near = nodes if last else nodes.where(F.col("apart") <= NODE_LIMIT)
+            pairs = stored(_compare(rows.join(near, "path")).distinct())
+            sets = full_sets(docs, pairs, shingle, sets)
+            found = _similar(measured(pairs, sets), percent)
             if not found.isEmpty():
                 links = links.union(found)
                 labels = components(links)
-            large = rows.where(F.col("apart") > NODE_LIMIT)
+            large = nodes.where(F.col("apart") > NODE_LIMIT).select("path")
             if wide is None:
-                wide = stored(large.select("rep").distinct())
+                wide = stored(rows.join(large, "path", "left_semi").select("rep").distinct())
             if last or large.isEmpty():
                 break
             level += 2
-            rows = stored(large.select("path", "rep").join(members, "rep").select("path", "rep", "s0", "s1", "sig")
-                          .mapInArrow(tidy(_paths(2)), "path long, rep long, s0 long, s1 long")).join(homes, "rep", "left")
         if wide.isEmpty():
             break
 
@@ -298,15 +312,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _open_nodes(rows: DataFrame) -> DataFrame:
+    """Nodes (path, n, apart, main) that can hold a new link: members of several components and of several homes.
+
+    ``apart`` counts the members outside the node's largest component, ``main``.
+    """
+    kinds = rows.groupBy("path", "component").agg(F.count("*").alias("n"), F.min("home").alias("first"), F.max("home").alias("last"))
+    return (kinds.groupBy("path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("main"),
+                                      F.count("*").alias("kinds"), F.min("first").alias("first"), F.max("last").alias("last"))
+            .where("kinds > 1 AND first < last").select("path", "n", (F.col("n") - F.col("most")).alias("apart"), "main"))
+
+
 def _compare(rows: DataFrame) -> DataFrame:
     """Pairs with close sketches of a member outside its node's main component and any member of another component.
 
-    Members of one home have met already.
+    Members of one home have met already. Large nodes are dealt in blocks of members against blocks of apart ones.
     """
     names = {"rep": "", "component": "c", "s0": "s0", "s1": "s1", "home": "h"}
-    a = rows.where("component <> main").select("path", *(F.col(c).alias("a" + x) for c, x in names.items()))
-    b = rows.select("path", "main", *(F.col(c).alias("b" + x) for c, x in names.items()))
+    na, nb = (F.ceil(F.col(c) / size).cast("int") for c, size in (("apart", APART_ROWS), ("n", GROUP_ROWS)))
+    own = lambda parts: F.pmod(F.xxhash64("rep"), parts).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    a = rows.where("component <> main").withColumn("i", own(na)).withColumn("j", every(nb))
+    a = a.select("path", "i", "j", *(F.col(c).alias("a" + x) for c, x in names.items()))
+    b = rows.withColumn("j", own(nb)).withColumn("i", every(na))
+    b = b.select("path", "i", "j", "main", *(F.col(c).alias("b" + x) for c, x in names.items()))
     once = (F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))
-    new = F.coalesce(F.col("ah") != F.col("bh"), F.lit(True))
-    pairs = a.join(b, "path").where(once & (F.col("ac") != F.col("bc")) & new & _close("as0", "as1", "bs0", "bs1"))
+    pairs = a.join(b, ["path", "i", "j"]).where(
+        once & (F.col("ac") != F.col("bc")) & (F.col("ah") != F.col("bh")) & _close("as0", "as1", "bs0", "bs1"))
     return pairs.select("a", "b")
