@@ -267,12 +267,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     stars = spots.join(nodes, "path").where((F.col("rep") != F.col("top")) & _close("s0", "s1", "t0", "t1"))
     pairs = stored(stars.select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct())
     sets = full_sets(docs, pairs, shingle)
-    links = _similar(measured(pairs, sets), percent)
-    labels = components(links)
+    labels = components(_similar(measured(pairs, sets), percent))
     homes = stored(pairs.select("a", "b").union(pairs.select("a", F.col("a").alias("b")).distinct())
                    .groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("home")))
-    links = links.union(group_links(homes, sets, labels, percent))
-    labels = components(links)
+    labels = _joined(labels, group_links(homes, sets, labels, percent))
 
     wide = None
     for tree in range(TREES):
@@ -293,8 +291,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             sets = full_sets(docs, pairs, shingle, sets)
             found = _similar(measured(pairs, sets), percent)
             if not found.isEmpty():
-                links = links.union(found)
-                labels = components(links)
+                labels = _joined(labels, found)
             large = nodes.where(F.col("apart") > NODE_LIMIT).select("path")
             if wide is None:
                 wide = stored(rows.join(large, "path", "left_semi").select("rep").distinct())
@@ -312,6 +309,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after further links (a, b): only the links between components are followed."""
+    of = {c: labels.select(F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab"}
+    between = links.join(of["a"], "a", "left").join(of["b"], "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    more = components(between)
+    moved = labels.join(more.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select(
+        "id", F.coalesce("to", "component").alias("component"))
+    return stored(moved.union(more.join(labels, "id", "left_anti").select("id", "component")))
+
+
 def _open_nodes(rows: DataFrame) -> DataFrame:
     """Nodes (path, n, apart, main) that can hold a new link: members of several components and of several homes.
 
