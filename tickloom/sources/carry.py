@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.joins import keep_first
 from tickloom.operators.quality import synthetic_source
-from tickloom.sources.bars import DataError, parse_number, read_csv_files, read_csv_text
+from tickloom.sources.bars import parse_number, read_csv_text
+from tickloom.sources.files import file_rows, read_files
 
 # The event file's columns and the archive's aliases for them.
 EVENT_COLUMNS = ["symbol", "fundingTime", "fundingRate", "markPrice", "rateType", "source"]
@@ -35,19 +36,15 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
         text("source").alias("source"), "ingest_id")
 
 
-def read_archive(spark: SparkSession, path: str, source: str, symbol: Column | None = None) -> DataFrame:
-    """Monthly archive files under any alias header; unusable rows dropped, provenance attached."""
-    raw = read_csv_files(spark, path)
-
-    def alias(names):
-        found = [F.col(n) for n in names if n in raw.columns]
-        if not found:
-            raise DataError(f"none of {', '.join(names)} in {raw.columns}")
-        return F.coalesce(*found)
+def read_archive(spark: SparkSession, path: str, source: str, symbol: Column | None = None, where: str | None = None,
+                 glob: str | None = None) -> DataFrame:
+    """Monthly archive files, each under an alias header of its own; unusable rows dropped, provenance attached.
 
+    ``where`` is a condition on ``key=value`` folders, ``glob`` a pattern of file names: other files are not read.
+    """
+    raw = file_rows(read_files(spark, path, where, glob), {"time": TIME_ALIASES, "rate": RATE_ALIASES})
     sym = symbol if symbol is not None else F.regexp_extract("source_file", r"([^/]+?)-[^/]*$", 1)
-    out = raw.select(sym.alias("symbol"), alias(TIME_ALIASES).try_cast("bigint").alias("funding_time"),
-                     parse_number(alias(RATE_ALIASES)).alias("funding_rate"),
+    out = raw.select(sym.alias("symbol"), F.col("time").try_cast("bigint").alias("funding_time"), parse_number(F.col("rate")).alias("funding_rate"),
                      F.lit(None).cast("double").alias("mark_price"), F.lit(None).cast("string").alias("rate_type"),
                      F.lit(source).alias("source"), "ingest_id")
     return out.filter("funding_time is not null and funding_rate is not null")
