@@ -43,6 +43,13 @@ def test_rules_on_golden_and_random_paths(spark, block):
             assert [got[name, rule, i] for i in range(len(rs))] == flags(rs, rule), (name, rule)
 
 
+def test_rules_refuse_bars_of_another_length(spark):
+    bars = bar_frame(spark, candles(GOLDEN["zigzag"]))
+    with pytest.raises(ValueError, match="breakout24h1h"):
+        signals(bars, ["emaCrossover", "breakout24h1h"], interval="15m")
+    assert signals(bars, ["breakout24h4h"], interval=4 * 3_600_000).columns == signals(bars, ["breakout24h4h"]).columns
+
+
 def held_actions(spark, xs, rule, **kw):
     h = pos.hold(signals(bar_frame(spark, candles(xs, **kw)), [rule]), ["symbol", "strategy"])
     return [(r.ord, "LONG" if r.up else "CLOSE") for r in h.filter("up or down").orderBy("ord").collect()]

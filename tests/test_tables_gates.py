@@ -93,6 +93,33 @@ def test_screening(spark, signal, state, limits, reason):
         assert (r.stop, r.target, r.quantity) == (51_000, 48_000, 1.0)
 
 
+@pytest.mark.parametrize("mark, reason", [
+    (None, None), (0.0, None), (100.0, None), (600.0, "margin ratio too low")])
+def test_screening_values_the_order_at_the_mark(spark, mark, reason):
+    """500 of margin on a balance of 1,000 is the least ratio; the order's own margin counts at the last price."""
+    st = {**STATE, "balance": 1000.0, "margin_used": 300.0}
+    s = spark.createDataFrame([("X", "LONG", 100.0, mark)], "symbol string, direction string, price double, mark double")
+    frame = spark.createDataFrame([("X", *st.values())],
+                                  "symbol string, paused boolean, breaker boolean, pending boolean, cooling_down boolean, "
+                                  "loss_cap boolean, slots_used int, has_position boolean, balance double, "
+                                  "margin_used double, lot_step double, tick double")
+    assert rc.screen_entries(s, frame, LIMITS, ["symbol"]).collect()[0].reject_reason == reason
+
+
+def test_carry_gates(spark):
+    good = (0.5, 0.4, 1.3, 1.0, 0.0, 1.0)
+    rows = [("ok", "a", *good), ("ok", "b", *good), ("edge", "a", *good), ("edge", "b", 0.5, -0.1, 1.3, 1.0, 0.0, 1.0),
+            ("stress", "a", *good[:4], -0.1, 0.9), ("none", "a", *good), ("none", "b", *[None] * 6), ("weeks", "a", *good)]
+    assets = spark.createDataFrame(rows, "strategy string, symbol string, before_exp double, net_exp_pct double, "
+                                   "net_profit_factor double, sharpe double, stress_exp double, stress_pf double")
+    weeks = spark.createDataFrame([(s, e) for s in ("ok", "edge", "stress", "none") for e in (1.0, 1.0, -1.0)], "strategy string, net_exp double")
+    got = {r.strategy: (r.base_pass, r.stress_pass, r.edge_destroyed, r.year_pass, r.verdict)
+           for r in gates.carry_gates(assets, weeks, ["strategy"]).collect()}
+    assert got == {"ok": (True, True, False, True, "SURVIVED"), "edge": (False, True, True, True, "FAILED"),
+                   "stress": (True, False, False, True, "FAILED"), "none": (False, False, False, True, "FAILED"),
+                   "weeks": (True, True, False, False, "FAILED")}
+
+
 def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).collect()[0].x
 

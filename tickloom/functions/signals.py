@@ -144,15 +144,22 @@ def with_signal_features(bars: DataFrame, keys: list[str], rules: list[Rule]) ->
     return out
 
 
-def signals(bars: DataFrame, strategies: list[str], keys=("symbol",), interval: str | int = "15m",
+def signals(bars: DataFrame, strategies: list[str], keys=("symbol",), interval: str | int | None = None,
             strict_warmup: bool = False, block: int = BLOCK) -> DataFrame:
     """Long table of rule outputs: keys, strategy, ord, ts, bar, next bar, set_long, reset.
 
-    ``bars`` must carry ``ord``. Rows stay in their block (``_blk``) so that the position
+    ``bars`` must carry ``ord``. Rules made for bars of another length than ``interval`` are refused; with no
+    ``interval`` the bars are taken to have the length the rules ask for. Rows stay in their block (``_blk``) so that the position
     operators need no further exchange; the next bar's columns are NULL on the last bar.
     """
     keys = list(keys)
     rules = [get_rule(s) for s in strategies]
+    other = [f"{r.name} ({r.interval})" for r in rules
+             if interval is not None and interval_millis(r.interval) != interval_millis(interval)]
+    if other:
+        raise ValueError(f"rules for bars of another length than {interval}: {', '.join(other)}")
+    if interval is None:
+        interval = min((r.interval for r in rules), key=interval_millis)
     back = look_back(rules, interval)
     if "atr" in frozenset().union(*[r.needs for r in rules]) and block % ind.SUB:
         raise ValueError(f"block must be a multiple of {ind.SUB} for rules over long averages")

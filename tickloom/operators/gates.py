@@ -118,6 +118,23 @@ def carry_verdict(base_all: Column, stress_all: Column, years: Column, destroyed
     return F.when(base_all & stress_all & years & ~destroyed, "SURVIVED").otherwise("FAILED")
 
 
+def carry_gates(assets: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key over its assets: gates with carry, share of positive periods, edge kept, verdict.
+
+    ``assets``: before_exp (without carry), net_exp_pct, net_profit_factor, sharpe, stress_exp, stress_pf; an asset
+    without them (no trades) fails both gates and destroys no edge. ``periods``: net_exp of each asset and full period;
+    a key without any fails the share.
+    """
+    c = F.col
+    a = assets.groupBy(*keys).agg(
+        F.bool_and(asset_gate(c("net_exp_pct"), c("net_profit_factor"), c("sharpe"))).alias("base_pass"),
+        F.bool_and(stress_ok(c("stress_exp"), c("stress_pf"))).alias("stress_pass"),
+        F.bool_or(edge_destroyed(c("before_exp"), c("net_exp_pct"))).alias("edge_destroyed"))
+    out = a.join(periods.groupBy(*keys).agg(year_share().alias("year_share")), keys, "left")
+    out = out.withColumn("year_pass", _yes(c("year_share") >= 0.6))
+    return out.withColumn("verdict", carry_verdict(c("base_pass"), c("stress_pass"), c("year_pass"), c("edge_destroyed")))
+
+
 def same_sign(value: str) -> Column:
     """All rows below 0 or all above 0, as an aggregate."""
     return F.bool_and(F.col(value) < 0) | F.bool_and(F.col(value) > 0)

@@ -234,7 +234,8 @@ def screen_entries(signals: DataFrame, state: DataFrame, limits: dict[str, float
 
     ``state`` holds one row per ``on``: paused, breaker, pending, cooling_down, loss_cap,
     slots_used, has_position, balance, margin_used, lot_step, tick. It is joined once; the
-    checks are one CASE chain in the order in which they apply.
+    checks are one CASE chain in the order in which they apply. Signals may carry ``mark``, the
+    last price of their symbol: the new order's margin is valued at it (NULL or 0: at its price).
     """
     s = signals.join(state, on, "left")
     price, direction = F.coalesce(F.col("price"), F.lit(0.0)), F.col("direction")
@@ -260,7 +261,8 @@ def screen_entries(signals: DataFrame, state: DataFrame, limits: dict[str, float
         "quantity": lots,
         "stop": rounded(stop_price(price, limits["stop_pct"], short), digits(tick)),
         "target": rounded(profit_price(price, limits["profit_pct"], short), digits(tick))})
-    used = F.coalesce("margin_used", F.lit(0.0)) + F.col("quantity") * price / lim["leverage"]
+    mark = F.coalesce(F.nullif(F.col("mark"), F.lit(0.0)), price) if "mark" in signals.columns else price
+    used = F.coalesce("margin_used", F.lit(0.0)) + F.col("quantity") * mark / lim["leverage"]
     ratio = margin_ratio(F.col("balance"), used)
     stop, target = F.col("stop"), F.col("target")
     reason = (

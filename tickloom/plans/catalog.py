@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
 from tickloom.functions import scalars as sc
-from tickloom.functions.signals import list_rules, signals
+from tickloom.functions.signals import get_rule, list_rules, signals
 from tickloom.operators import carry, diagnostics as dg, gates, grid, joins, metrics as mt
 from tickloom.operators import positions as pos, quality as q, quantiles as qt, reconcile as rc, resample as rs
 from tickloom.operators.sequence import block_no, block_window, blocked, owned, scan, time_chunk
@@ -20,7 +20,7 @@ MONEY = {"entry_price", "exit_price", "quantity", "gross_pnl", "fees", "net_pnl"
          "expectancy", "avg_win", "avg_loss", "gross_profit", "gross_loss", "total_fees", "max_drawdown_abs",
          "cashflow", "carry_paid", "carry_received", "net_carry", "total_carry_paid", "total_carry_received",
          "total_net_carry", "net_pnl_after", "net_pnl_before", "net_before_carry", "total_gross_pnl", "total_net_pnl", "cash_before",
-         "total_paid", "top_paid", "best", "unrealised_pnl", "turnover", "annualized_return_pct"}
+         "total_paid", "top_paid", "best", "unrealised_pnl", "turnover", "annualized_return_pct", "fees_per_year"}
 # Sums of products of short decimals: exact to five places, so never on a rounding edge there.
 DECIMAL_SUMS = {"realised_pnl", "total_commission", "start_balance", "current_balance"}
 
@@ -138,9 +138,9 @@ def day_bucket(c):
     return block_no(time_chunk(c, DAY))
 
 
-def carry_run(spark, sf):
-    """Crossover ledger at quarter size with BASE costs, its carry cashflows and totals."""
-    base = pos.scenario_table(spark, {"BASE": pos.SCENARIOS["BASE"]}, (25.0,))
+def carry_run(spark, sf, scenario="BASE"):
+    """Costs, crossover ledger at quarter size and its carry cashflows."""
+    base = pos.scenario_table(spark, {scenario: pos.SCENARIOS[scenario]}, (25.0,))
     trades = cut(spark, grid.run_ledger(rule_signals(spark, sf, ["emaCrossover"]), ["symbol", "strategy"], base))
     ev = marked_events(spark, sf).filter("mark_price is not null")
     flows = carry.cashflows(trades, ev, ["symbol"], day_bucket)
@@ -364,11 +364,11 @@ def forward_excursion(spark, sf):
 
 def _signal_query(name):
     def run(spark, sf):
-        s = rule_signals(spark, sf, [name])
+        s = rule_signals(spark, sf, [name], get_rule(name).interval)
         return s.filter("set_long or reset").select("symbol", "strategy", "ts", "set_long", "reset")
 
     run.__name__ = "sig_" + name
-    run.__doc__ = f"Bars at which {name} sets or resets."
+    run.__doc__ = f"Bars of its own length at which {name} sets or resets."
     query(run)
 
 
@@ -481,7 +481,7 @@ def fold_metrics(spark, sf):
     ts = tr.groupBy(*k).agg(
         F.count(F.lit(1)).alias("trade_count"), F.avg(n).alias("net_exp_pct"),
         mt.profit_factor(n).alias("net_profit_factor"), F.avg("cost_pct").alias("avg_cost_pct"),
-        F.avg("mfe").alias("avg_mfe"), F.avg("mae").alias("avg_mae"),
+        F.sum("fees").alias("_fees"), F.avg("mfe").alias("avg_mfe"), F.avg("mae").alias("avg_mae"),
         F.sum(F.col("quantity") * F.col("entry_price")).alias("_bought"), F.avg("gross_return_pct").alias("_g"))
     med = qt.exact_quantiles(tr, k, "net_return_pct", {"median_net_pct": 0.5})
     out = m.join(ts, k, "left").join(med, k, "left")
@@ -491,6 +491,8 @@ def fold_metrics(spark, sf):
         "avg_cost_pct", "avg_mfe", "avg_mae", "median_net_pct",
         (F.coalesce("_bought", F.lit(0.0)) / F.col("initial_capital")).alias("turnover"),
         (F.coalesce("trade_count", F.lit(0)) * (365 / 7)).alias("trades_per_year"),
+        (F.coalesce("_fees", F.lit(0.0)) * (365 / 7)).alias("fees_per_year"),
+        (F.coalesce("_fees", F.lit(0.0)) * (365 / 7) / F.col("initial_capital") * 100).alias("fees_per_year_pct"),
         dg.edge_cost(F.col("_g"), F.col("avg_cost_pct")).alias("edge_cost"))
 
 
@@ -726,10 +728,24 @@ def capital_efficiency(spark, sf):
 
 # Gates
 
-def _gate_inputs(spark, sf):
+def base_sharpe(spark, sf, trades, strategies=RULES_15M):
+    """Sharpe ratio of each rule's and symbol's equity with BASE costs."""
+    runs = grid.run_list(costs(spark, only=["BASE"]), strategies)
+    e = pos.equity_curve(derive.bars(spark, sf), trades.filter("scenario = 'BASE'"), runs, ["symbol"],
+                         ["strategy", "scenario", "size_pct"], CAPITAL)
+    m = mt.equity_metrics(mt.equity_profile(e, RUN), RUN, BAR_MS, CAPITAL)
+    return m.select("strategy", "symbol", F.col("sharpe").alias("base_sharpe"))
+
+
+def weekly_exp(trades, keys, value="net_return_pct"):
+    """Expectancy of each week of entries (the test tables hold a few weeks, so these stand for calendar years)."""
+    return trades.groupBy(*keys, F.weekofyear("entry_time").alias("week")).agg(F.avg(value).alias("net_exp"))
+
+
+def _gate_inputs(trades):
     """Per rule and symbol: expectancy and profit factor of the three cost scenarios."""
     n = F.col("net_return_pct")
-    t = dg.trade_returns(ledgers(spark, sf))
+    t = dg.trade_returns(trades)
     m = t.groupBy("strategy", "symbol", "scenario").agg(
         F.count(F.lit(1)).alias("count"), F.avg(n).alias("exp"), mt.profit_factor(n).alias("pf"))
 
@@ -746,50 +762,81 @@ def _gate_inputs(spark, sf):
 def cost_class(spark, sf):
     c = F.col
     args = (c("gross_net_exp"), c("base_net_exp"), c("base_net_pf"), c("stress_net_exp"), c("stress_net_pf"))
-    return _gate_inputs(spark, sf).select(
+    return _gate_inputs(ledgers(spark, sf)).select(
         "strategy", "symbol", "count", sc.sample_label(c("count")).alias("sample"),
         gates.cost_class(*args).alias("cost_class"), gates.development_cost_class(*args).alias("development_class"))
 
 
 @query
 def external_gates(spark, sf):
-    """External-validation gates over the external ledger; the net share stands for Sharpe."""
-    t = ext_trades(spark, sf)
-    n, g = F.col("net_return_pct"), F.col("gross_return_pct")
-    a = t.groupBy("strategy", "symbol").agg(
-        F.avg(g).alias("base_net_exp"), mt.profit_factor(g).alias("base_net_pf"), F.avg(g).alias("base_sharpe"),
-        F.avg(n).alias("stress_net_exp"), mt.profit_factor(n).alias("stress_net_pf"),
-        F.count(F.lit(1)).alias("count"))
-    y = t.groupBy("strategy", "symbol", F.year("entry_time")).agg(F.avg(g).alias("net_exp"))
+    """External-validation gates of each rule: its symbols with BASE and STRESS costs, BASE by week."""
+    t = ledgers(spark, sf)
+    a = _gate_inputs(t).join(base_sharpe(spark, sf, t), ["strategy", "symbol"])
+    y = weekly_exp(dg.trade_returns(t).filter("scenario = 'BASE'"), ["strategy", "symbol"])
     return gates.external_gates(a, y, ["strategy"])
 
 
 @query
 def survival_gates(spark, sf):
-    """Screening, development and timeframe decisions per rule over all symbols."""
+    """Screening, development, timeframe and pooled decisions per rule over all symbols.
+
+    The Sharpe ratio is the mean of the symbols' BASE runs (none if one is undefined); the buckets are symbol and week.
+    """
     c = F.col
     n = c("net_return_pct")
-    t = dg.trade_returns(ledgers(spark, sf))
-    per_symbol = t.groupBy("strategy", "scenario", "symbol").agg(F.avg(n).alias("e"))
-    lo_hi = per_symbol.groupBy("strategy", "scenario").agg(
-        F.max("e").alias("_hi"), F.min("e").alias("_lo"), F.count_if(c("e") > 0).alias("positive"),
-        F.bool_and(c("e") > 0).alias("all_positive"))
-    m = t.groupBy("strategy", "scenario").agg(
-        F.count(F.lit(1)).alias("count"), F.avg(n).alias("exp"), mt.profit_factor(n).alias("pf"),
-        F.avg(F.signum(n)).alias("balance"))
-    m = m.join(lo_hi, ["strategy", "scenario"])
-    b = m.filter("scenario = 'BASE'")
-    s = m.filter("scenario = 'STRESS'").select("strategy", c("exp").alias("s_exp"), c("pf").alias("s_pf"))
+    led = ledgers(spark, sf)
+    t = dg.trade_returns(led)
+    whole = t.groupBy("strategy", "scenario").agg(
+        F.count(F.lit(1)).alias("count"), F.avg(n).alias("exp"), mt.profit_factor(n).alias("pf"))
+    b = whole.filter("scenario = 'BASE'")
+    s = whole.filter("scenario = 'STRESS'").select("strategy", c("exp").alias("s_exp"), c("pf").alias("s_pf"))
+    per_symbol = t.filter("scenario = 'BASE'").groupBy("strategy", "symbol").agg(
+        F.avg(n).alias("e"), mt.profit_factor(n).alias("p"))
+    per_symbol = base_sharpe(spark, sf, led).join(per_symbol, ["strategy", "symbol"], "left")
+    symbols = per_symbol.groupBy("strategy").agg(
+        F.max("e").alias("_hi"), F.min("e").alias("_lo"), F.bool_and(c("e") > 0).alias("all_positive"),
+        F.when(F.count("base_sharpe") == F.count(F.lit(1)), F.avg("base_sharpe")).alias("sharpe"),
+        F.count_if(gates.asset_gate(c("e"), c("p"), c("base_sharpe"))).alias("assets"))
+    cells = weekly_exp(t.filter("scenario = 'BASE'"), ["strategy", "symbol"])
+    weeks = cells.groupBy("strategy", "week").agg(
+        F.avg("net_exp").alias("_w"), F.count_if(c("net_exp") > 0).alias("_p"))
+    weeks = weeks.groupBy("strategy").agg(F.bool_and(c("_w") > 0).alias("weeks_positive"), F.sum("_p").alias("positive"))
     conflict = gates.sign_conflict(c("_hi"), c("_lo"))
-    return b.join(s, "strategy").select(
-        "strategy", "count", "positive", conflict.alias("conflict"),
-        gates.screening(c("count"), c("exp"), c("pf"), c("balance"), c("all_positive")).alias("screening"),
-        gates.development_survival(c("exp"), c("pf"), c("balance"), c("positive"), conflict, c("count"))
-        .alias("survives"),
-        gates.timeframe_verdict(c("exp"), c("pf"), c("balance"), c("s_exp"), c("s_pf"), c("positive"),
-                                c("all_positive"), conflict, c("count")).alias("verdict"),
-        gates.pooled_final(c("count"), c("exp"), c("pf"), c("balance"), c("positive"), c("s_exp"), c("s_pf"))
-        .alias("pooled"))
+    args = (c("exp"), c("pf"), c("sharpe"))
+    return b.join(s, "strategy").join(symbols, "strategy").join(weeks, "strategy").select(
+        "strategy", "count", "positive", "assets", "sharpe", conflict.alias("conflict"),
+        gates.screening(c("count"), *args, c("all_positive") & c("weeks_positive")).alias("screening"),
+        gates.development_survival(*args, c("positive"), conflict, c("count")).alias("survives"),
+        gates.timeframe_verdict(*args, c("s_exp"), c("s_pf"), c("positive"), c("all_positive"), conflict, c("count"))
+        .alias("verdict"),
+        gates.pooled_final(c("count"), *args, c("assets"), c("s_exp"), c("s_pf")).alias("pooled"))
+
+
+FULL_WEEK = 600  # of 672 bars
+
+
+@query
+def carry_gates(spark, sf):
+    """Carry-adjusted decision per rule: BASE and STRESS runs with their carry, full weeks, edge before and after."""
+    bars = derive.bars(spark, sf)
+    week = F.weekofyear("ts").alias("week")
+    full = bars.groupBy("symbol", week).agg(F.count(F.lit(1)).alias("_n")).filter(mt.full_year(F.col("_n"), FULL_WEEK))
+    runs = {}
+    for name in ("BASE", "STRESS"):
+        price, trades, flows = carry_run(spark, sf, name)
+        rich = cut(spark, carry.enrich(trades, flows.select(*RUN, "entry_ord", "cashflow"), [*RUN, "entry_ord"]))
+        e = pos.equity_curve(bars, trades, grid.run_list(price, ["emaCrossover"]), ["symbol"],
+                             ["strategy", "scenario", "size_pct"], CAPITAL)
+        e = carry.equity_with_carry(e, flows, RUN, BAR_MS)
+        runs[name] = rich, mt.carry_run_metrics(mt.equity_profile(e, RUN), rich, RUN, CAPITAL, 25.0, 96)
+    k = ["strategy", "symbol"]
+    rich, base = runs["BASE"]
+    before = rich.groupBy(*k).agg(F.avg("net_pnl_before").alias("before_exp"))
+    assets = bars.select("symbol").distinct().withColumn("strategy", F.lit("emaCrossover"))
+    assets = assets.join(base.select(*k, "net_exp_pct", "net_profit_factor", "sharpe"), k, "left").join(before, k, "left")
+    stress = runs["STRESS"][1].select(*k, F.col("net_exp_pct").alias("stress_exp"), F.col("net_profit_factor").alias("stress_pf"))
+    cells = weekly_exp(rich, k, "net_pnl_after").join(full.select("symbol", "week"), ["symbol", "week"], "left_semi")
+    return gates.carry_gates(assets.join(stress, k, "left"), cells, ["strategy"])
 
 
 @query
@@ -925,8 +972,10 @@ def screening(spark, sf):
     c = derive.table(spark, sf, "customer")
     direction = (F.when(F.col("o_orderstatus") == "O", "LONG").when(F.col("o_orderstatus") == "F", "SHORT")
                  .otherwise("CLOSE"))
-    s = o.select("o_orderkey", F.col("o_custkey").alias("account"), direction.alias("direction"),
-                 (F.col("o_totalprice") / 100).alias("price"))
+    price = F.col("o_totalprice") / 100
+    moved = price * (1 + (F.col("o_orderkey") % 7 - 3) / 10)
+    s = o.select("o_orderkey", F.col("o_custkey").alias("account"), direction.alias("direction"), price.alias("price"),
+                 F.when(F.col("o_orderkey") % 3 > 0, moved).alias("mark"))
     k = F.col("c_custkey")
     st = c.select(
         k.alias("account"), (k % 13 == 0).alias("paused"), (k % 11 == 0).alias("breaker"), (k % 7 == 0).alias("pending"),

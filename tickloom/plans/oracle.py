@@ -68,6 +68,7 @@ cte("ticks_all", "SELECT 'ALL' AS symbol, ts, price, seq FROM ticks", "ticks")
 cte("b1m", bars_from("ticks", M), "ticks")
 cte("b15", bars_from("ticks", 15 * M), "ticks")
 cte("b1h", bars_from("ticks", 60 * M), "ticks")
+cte("b4h", bars_from("ticks", 240 * M), "ticks")
 cte("ball", bars_from("ticks_all", 15 * M), "ticks_all")
 cte("bars", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ord FROM b15", "b15")
 
@@ -266,7 +267,7 @@ cte("cross2", f"""SELECT *, coalesce(st AND NOT lag(st) OVER w, false) AS sg, co
  coalesce(tt AND NOT lag(tt) OVER w, false) AS tg, coalesce(NOT tt AND lag(tt) OVER w, false) AS td,
  lag(ema50) OVER w AS e50p, lag(ema9) OVER w AS e9p, lag(high) OVER w AS hp, lag(rsi) OVER w AS rp,
  lead(ts) OVER w AS nts, lead(open) OVER w AS nopen, lead(high) OVER w AS nhigh, lead(low) OVER w AS nlow, """ + ", ".join(
-    f"max(high) OVER ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS h{n}" for n in (6, 24, 96)) +
+    f"max(high) OVER ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS h{n}" for n in (96,)) +
     f" FROM crs WINDOW w AS ({W})", "crs")
 cte("cross3", f"""SELECT *, (sum((tg OR td)::INT) OVER (PARTITION BY symbol ORDER BY ts
  RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW)) AS day_crosses,
@@ -281,8 +282,7 @@ RULE_SQL = {
     "emaTrendVolFilter": (f"tg AND {_UP} AND atr14 / close * 100 < 0.629", "td"),
     "emaConfirmation": ("confirm AND ema9 > ema21 AND close > hp", "sd"),
     "trendPullbackReclaim": (f"ord >= 50 AND {_UP} AND ema9 > ema21 AND pc <= e9p AND close > ema9", "td"),
-    **{name: (f"ord >= 49 AND ord + 1 >= {n} AND {_UP} AND close > h{n}", "td")
-       for name, n in (("breakout24hTrend", 96), ("breakout24h1h", 24), ("breakout24h4h", 6))},
+    "breakout24hTrend": (f"ord >= 49 AND ord + 1 >= 96 AND {_UP} AND close > h96", "td"),
 }
 cte("sig", " UNION ALL ".join(
     f"SELECT symbol, '{name}' AS strategy, ord, ts, high, low, close, nts, nopen, nhigh, nlow, "
@@ -290,6 +290,16 @@ cte("sig", " UNION ALL ".join(
 for _n in RULE_SQL:
     oracle(f"sig_{_n}", f"SELECT symbol, strategy, ts, set_long, reset FROM sig WHERE strategy = '{_n}' "
            "AND (set_long OR reset)", "sig")
+# The breakouts over one day of longer bars.
+for _n, _src, _day in (("breakout24h1h", "b1h", 24), ("breakout24h4h", "b4h", 6)):
+    cte(f"o_{_src}", f"""SELECT *, row_number() OVER ({W}) - 1 AS ord, list(close) OVER ({W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS buf,
+ max(high) OVER ({W} ROWS BETWEEN {_day} PRECEDING AND 1 PRECEDING) AS top FROM {_src}""", _src)
+    cte(f"e_{_src}", "SELECT *, " + ", ".join(
+        f"CASE WHEN ord >= {p - 1} THEN {fold_ema('buf', p)} END AS ema{p}" for p in (9, 21, 50)) + f" FROM o_{_src}", f"o_{_src}")
+    oracle(f"sig_{_n}", f"""SELECT symbol, '{_n}' AS strategy, ts, set_long, reset FROM (SELECT symbol, ts,
+ coalesce(ord >= 49 AND ord + 1 >= {_day} AND close > ema50 AND ema50 > lag(ema50) OVER w AND close > top, false) AS set_long,
+ coalesce(NOT over AND lag(over) OVER w, false) AS reset FROM (SELECT *, CASE WHEN ord >= 49 THEN ema9 > ema21 END AS over FROM e_{_src})
+ WINDOW w AS ({W})) WHERE set_long OR reset""", f"e_{_src}")
 
 # Positions. K: run keys without costs.
 
@@ -565,10 +575,11 @@ cte("gled", f"SELECT t.* FROM g_led t JOIN {FOLDS} USING (period) WHERE entry_ti
 oracle("fold_metrics", f"""SELECT symbol, strategy, period, {rs('initial_capital', 'total_return_pct', 'max_drawdown_pct', 'sharpe',
  'exposure_pct')}, coalesce(trade_count, 0) AS trade_count, {rs('net_exp_pct', 'net_profit_factor', 'avg_cost_pct', 'avg_mfe',
  'avg_mae', 'median_net_pct')}, {money('coalesce(bought, 0) / initial_capital', 'turnover')},
- {r('coalesce(trade_count, 0) * (365 / 7)', 'trades_per_year')},
+ {r('coalesce(trade_count, 0) * (365 / 7)', 'trades_per_year')}, {money('coalesce(paid, 0) * (365 / 7)', 'fees_per_year')},
+ {r('coalesce(paid, 0) * (365 / 7) / initial_capital * 100', 'fees_per_year_pct')},
  {r('CASE WHEN avg_cost_pct > 1e-9 THEN abs(g) / avg_cost_pct END', 'edge_cost')} FROM y_e LEFT JOIN
  (SELECT symbol, strategy, period, count(*) AS trade_count, avg(net_return_pct) AS net_exp_pct, {pf('net_return_pct')} AS
- net_profit_factor, avg(cost_pct) AS avg_cost_pct, avg(mfe) AS avg_mfe, avg(mae) AS avg_mae, sum(quantity * entry_price) AS bought,
+ net_profit_factor, avg(cost_pct) AS avg_cost_pct, avg(mfe) AS avg_mfe, avg(mae) AS avg_mae, sum(fees) AS paid, sum(quantity * entry_price) AS bought,
  avg(gross_return_pct) AS g, quantile_cont(net_return_pct, 0.5) AS median_net_pct FROM gled GROUP BY ALL) USING (symbol, strategy, period)""",
        "y_e", "gled")
 
@@ -687,27 +698,51 @@ oracle("cost_class", """SELECT strategy, symbol, count, CASE WHEN count < 30 THE
  ELSE 'COST SENSITIVE' END AS cost_class, CASE WHEN ge <= 0 THEN 'NO EDGE' WHEN NOT coalesce(be > 0 AND bp > 1, false) THEN
  'EDGE TOO THIN' WHEN NOT coalesce(se > 0 AND sp > 1, false) THEN 'COST SENSITIVE' ELSE 'COST ROBUST IN DEVELOPMENT' END
  AS development_class FROM gi""", "gi")
+cte("gsh", "SELECT strategy, symbol, sharpe FROM m_e WHERE scenario = 'BASE'", "m_e")
+cte("gwk", """SELECT strategy, symbol, weekofyear(entry_time) AS week, avg(net_return_pct) AS e FROM m_led WHERE scenario = 'BASE'
+ GROUP BY 1, 2, 3""", "m_led")
 oracle("external_gates", f"""SELECT strategy, asset_pass, stress_pass, sample_pass, {r('year_share', 'year_share')},
  year_share >= 0.6 AS year_pass, CASE WHEN asset_pass AND stress_pass AND sample_pass AND year_share >= 0.6 THEN 'PASS' ELSE 'FAIL'
- END AS verdict FROM (SELECT strategy, bool_and(coalesce(g > 0 AND gp > 1.05, false)) AS asset_pass,
- bool_and(coalesce(n >= 0 AND np >= 1, false)) AS stress_pass, bool_and(c >= 100) AS sample_pass FROM
- (SELECT strategy, symbol, avg(gross_return_pct) AS g, {pf('gross_return_pct')} AS gp, avg(net_return_pct) AS n,
- {pf('net_return_pct')} AS np, count(*) AS c FROM ext GROUP BY 1, 2) GROUP BY 1) JOIN
- (SELECT strategy, count(*) FILTER (e > 0) / count(*) AS year_share FROM (SELECT strategy, symbol, year(entry_time), avg(gross_return_pct) AS e
- FROM ext GROUP BY 1, 2, 3) GROUP BY 1) USING (strategy)""", "ext")
-cte("sg", f"""SELECT strategy, scenario, count(*) AS n, avg(net_return_pct) AS e, {pf('net_return_pct')} AS p,
- avg(sign(net_return_pct)) AS bal FROM m_led GROUP BY 1, 2""", "m_led")
-cte("sgs", """SELECT strategy, max(e) AS hi, min(e) AS lo, count(*) FILTER (e > 0) AS pos, bool_and(e > 0) AS allpos FROM
- (SELECT strategy, symbol, avg(net_return_pct) AS e FROM m_led WHERE scenario = 'BASE' GROUP BY 1, 2) GROUP BY 1""", "m_led")
-oracle("survival_gates", """SELECT strategy, n AS count, pos AS positive, conf AS conflict, CASE WHEN n < 30 THEN 'INSUFFICIENT SAMPLE'
- WHEN NOT ok1 THEN 'FAIL (edge/PF/Sharpe not positive under BASE)' WHEN allpos THEN 'PASS SCREENING' ELSE 'PASS BUT INCONSISTENT' END AS screening,
+ END AS verdict FROM (SELECT strategy, bool_and(coalesce(be > 0 AND bp > 1.05 AND sharpe > 0, false)) AS asset_pass,
+ bool_and(coalesce(se >= 0 AND sp >= 1, false)) AS stress_pass, bool_and(count >= 100) AS sample_pass
+ FROM gi JOIN gsh USING (strategy, symbol) GROUP BY 1) JOIN
+ (SELECT strategy, count(*) FILTER (e > 0) / count(*) AS year_share FROM gwk GROUP BY 1) USING (strategy)""", "gi", "gsh", "gwk")
+cte("sg", f"""SELECT strategy, scenario, count(*) AS n, avg(net_return_pct) AS e, {pf('net_return_pct')} AS p
+ FROM m_led GROUP BY 1, 2""", "m_led")
+cte("sgs", f"""SELECT strategy, max(e) AS hi, min(e) AS lo, bool_and(e > 0) AS allpos,
+ count(*) FILTER (coalesce(e > 0 AND p > 1.05 AND sharpe > 0, false)) AS assets,
+ CASE WHEN count(sharpe) = count(*) THEN avg(sharpe) END AS sharpe FROM gsh LEFT JOIN
+ (SELECT strategy, symbol, avg(net_return_pct) AS e, {pf('net_return_pct')} AS p FROM m_led WHERE scenario = 'BASE' GROUP BY 1, 2)
+ USING (strategy, symbol) GROUP BY 1""", "m_led", "gsh")
+cte("sgw", """SELECT strategy, bool_and(w > 0) AS weekpos, sum(k)::BIGINT AS pos FROM (SELECT strategy, week, avg(e) AS w,
+ count(*) FILTER (e > 0) AS k FROM gwk GROUP BY 1, 2) GROUP BY 1""", "gwk")
+oracle("survival_gates", f"""SELECT strategy, n AS count, pos AS positive, assets, {rs('sharpe')}, conf AS conflict, CASE WHEN n < 30 THEN 'INSUFFICIENT SAMPLE'
+ WHEN NOT ok1 THEN 'FAIL (edge/PF/Sharpe not positive under BASE)' WHEN allpos AND weekpos THEN 'PASS SCREENING' ELSE 'PASS BUT INCONSISTENT' END AS screening,
  ok1 AND pos >= 4 AND NOT conf AND n >= 100 AS survives,
  CASE WHEN ok2 AND st AND pos >= 4 AND allpos AND NOT conf AND n >= 100 THEN 'PASS' WHEN coalesce(e > 0 AND p > 1.05, false) THEN 'PARTIAL'
- ELSE 'FAIL' END AS verdict, CASE WHEN n < 50 THEN 'INCONCLUSIVE' WHEN ok2 AND pos >= 3 AND st THEN 'PASS' ELSE 'FAIL' END AS pooled
- FROM (SELECT b.*, pos, allpos, coalesce(hi > 0.01 AND lo < -0.01, false) AS conf, coalesce(b.e > 0 AND b.p > 1 AND b.bal > 0, false) AS ok1,
- coalesce(b.e > 0 AND b.p > 1.05 AND b.bal > 0, false) AS ok2, coalesce(s.e >= 0 AND s.p >= 1, false) AS st
- FROM sg b JOIN sgs USING (strategy) JOIN sg s ON s.strategy = b.strategy AND s.scenario = 'STRESS' WHERE b.scenario = 'BASE')""",
-       "sg", "sgs")
+ ELSE 'FAIL' END AS verdict, CASE WHEN n < 50 THEN 'INCONCLUSIVE' WHEN ok2 AND assets >= 3 AND st THEN 'PASS' ELSE 'FAIL' END AS pooled
+ FROM (SELECT b.*, pos, assets, sharpe, allpos, weekpos, coalesce(hi > 0.01 AND lo < -0.01, false) AS conf,
+ coalesce(b.e > 0 AND b.p > 1 AND sharpe > 0, false) AS ok1,
+ coalesce(b.e > 0 AND b.p > 1.05 AND sharpe > 0, false) AS ok2, coalesce(s.e >= 0 AND s.p >= 1, false) AS st
+ FROM sg b JOIN sgs USING (strategy) JOIN sgw USING (strategy) JOIN sg s ON s.strategy = b.strategy AND s.scenario = 'STRESS'
+ WHERE b.scenario = 'BASE')""", "sg", "sgs", "sgw")
+# The carry run once more with STRESS costs.
+position_ctes("s_", "sigx", K2, "sigx")
+ledger_ctes("s_", K2, "(VALUES ('STRESS', 0.0006::DOUBLE, 0.0005::DOUBLE)) s(scenario, commission, slippage)",
+            "(VALUES (25.0::DOUBLE)) z(size_pct)")
+cte("s_rich", """SELECT t.symbol, t.net_pnl + coalesce((SELECT sum(-(t.quantity * e.mark_price * e.rate)) FROM marked e
+ WHERE e.symbol = t.symbol AND e.event_time > t.entry_time AND e.event_time < t.exit_time AND e.mark_price > 0 AND e.rate <> 0), 0)
+ AS net FROM s_led t""", "s_led", "marked")
+oracle("carry_gates", f"""SELECT 'emaCrossover' AS strategy, base_pass, stress_pass, edge_destroyed, {r('year_share', 'year_share')},
+ coalesce(year_share >= 0.6, false) AS year_pass, CASE WHEN base_pass AND stress_pass AND NOT edge_destroyed AND coalesce(year_share >= 0.6, false)
+ THEN 'SURVIVED' ELSE 'FAILED' END AS verdict FROM (SELECT bool_and(coalesce(a.net_exp_pct > 0 AND a.net_profit_factor > 1.05 AND a.sharpe > 0, false))
+ AS base_pass, bool_and(coalesce(s.e >= 0 AND s.p >= 1, false)) AS stress_pass,
+ bool_or(coalesce(b.net_exp_pct > 0 AND a.net_exp_pct <= 0, false)) AS edge_destroyed
+ FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN fa_m a USING (symbol) LEFT JOIN fb_m b USING (symbol)
+ LEFT JOIN (SELECT symbol, avg(net) AS e, {pf('net')} AS p FROM s_rich GROUP BY 1) s USING (symbol)),
+ (SELECT count(*) FILTER (e > 0) / nullif(count(*), 0) AS year_share FROM (SELECT symbol, weekofyear(entry_time) AS week, avg(net_pnl_after) AS e
+ FROM rich GROUP BY 1, 2) JOIN (SELECT symbol, weekofyear(ts) AS week FROM bars GROUP BY 1, 2 HAVING count(*) >= 600) USING (symbol, week))""",
+       "fa_m", "fb_m", "s_rich", "rich", "bars")
 oracle("grade", """SELECT symbol, strategy, n AS trade_count, g AS grade, CASE g WHEN 'A' THEN 'INSUFFICIENT DATA'
  WHEN 'B' THEN 'NEGATIVE EXPECTANCY IN TEST DATA' WHEN 'C' THEN 'POSITIVE GROSS EXPECTANCY BUT FAILS COST TEST'
  ELSE 'POSITIVE EXPECTANCY UNDER TESTED ASSUMPTIONS' END AS label FROM (SELECT *, CASE WHEN n < 30 THEN 'A' WHEN ge IS NULL OR ge <= 0 THEN 'B'
@@ -784,14 +819,14 @@ oracle("screening", f"""SELECT direction, outcome, count(*) AS n, {r('sum(CASE W
  WHEN cool THEN 'signal cooldown' WHEN cap THEN 'daily loss cap exceeded' WHEN slots >= 3 THEN 'max positions'
  WHEN has THEN 'already has position' WHEN balance <= 0 OR price <= 0 THEN 'invalid balance/price'
  WHEN q * price < 5.5 THEN 'notional too small' WHEN qty <= 0 THEN 'quantity zero after rounding'
- WHEN balance / (balance / 4 + qty * price / 5) * 100 < 200 THEN 'margin ratio too low'
+ WHEN balance / (balance / 4 + qty * coalesce(nullif(mark, 0), price) / 5) * 100 < 200 THEN 'margin ratio too low'
  WHEN abs(tp - price) < abs(price - sl) THEN 'reward below risk' ELSE 'approved' END AS outcome FROM
  (SELECT *, floor(floor(q / 0.001::DOUBLE) * 0.001::DOUBLE * 1000 + 0.5) / 1000 AS qty,
  floor(price * CASE WHEN direction = 'SHORT' THEN 1 + 2.0::DOUBLE / 100 ELSE 1 - 2.0::DOUBLE / 100 END * 100 + 0.5) / 100 AS sl,
  floor(price * CASE WHEN direction = 'SHORT' THEN 1 - 4.0::DOUBLE / 100 ELSE 1 + 4.0::DOUBLE / 100 END * 100 + 0.5) / 100 AS tp FROM
  (SELECT *, least(balance * 10 / 100 * 5, 4000) / price AS q, direction = 'CLOSE' AS cl FROM
  (SELECT CASE o_orderstatus WHEN 'O' THEN 'LONG' WHEN 'F' THEN 'SHORT' ELSE 'CLOSE' END AS direction, o_totalprice / 100 AS price,
- c_custkey % 13 = 0 AS paused, c_custkey % 11 = 0 AS breaker, c_custkey % 7 = 0 AS pending, c_custkey % 5 = 0 AS cool,
+ CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 100 * (1 + (o_orderkey % 7 - 3) / 10) END AS mark, c_custkey % 13 = 0 AS paused, c_custkey % 11 = 0 AS breaker, c_custkey % 7 = 0 AS pending, c_custkey % 5 = 0 AS cool,
  c_custkey % 17 = 0 AS cap, c_custkey % 5 AS slots, c_custkey % 2 = 0 AS has, c_acctbal AS balance
  FROM orders JOIN customer ON o_custkey = c_custkey)))) GROUP BY 1, 2""")
 oracle("margin_ratio", f"""SELECT c_nationkey::BIGINT AS account, n AS open_positions, {r('bal / used * 100', 'ratio_pct')} FROM
