@@ -1,6 +1,7 @@
 """Conversations, archives, vectors and the pipeline against plain versions."""
 import gzip
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -84,6 +85,28 @@ def test_salvage():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(gzip.compress(b"x")))[0][2] is None
 
 
+def test_salvage_members_with_several_records():
+    raw = [warc.record(i, "u", f"payload {i} ".encode() * 50, None) for i in range(6)]
+    cut = bytearray(warc.member(raw[0] + raw[1] + random.Random(3).randbytes(20_000)))
+    cut[-3000] ^= 0xFF  # two records are sound before the damage
+    data = warc.member(b"".join(raw[:3])) + warc.member(raw[3] + b"noise" + raw[4]) + bytes(cut) + warc.member(raw[5]) + gzip.compress(b"x")
+    out = list(warc.salvage(data))
+    assert [f["warc-record-id"] if f else None for _, _, f, _, _ in out] == [
+        *(f"<urn:page:{i}>" for i in (0, 1, 2, 3)), None, "<urn:page:4>", "<urn:page:0>", "<urn:page:1>", None, "<urn:page:5>", None]
+    assert out[0][0] == 0 and out[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(out, out[1:], strict=False))
+    assert "bytes" in out[4][4] and out[8][1] - out[8][0] == len(cut)
+    bad = raw[0].replace(b"Content-Length: ", b"Content-Length: " + "²".encode())
+    assert [f is None for _, _, f, _, _ in warc.salvage(bad + raw[1])] == [True, False]
+
+
+def test_salvage_is_linear_in_false_marks():
+    start = time.process_time()
+    for piece in (b"\x1f\x8b\x08", b"\x1f\x8b\x08\x08name", b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n"):
+        noise = piece * (1_000_000 // len(piece))
+        assert [(a, b, f) for a, b, f, _, _ in warc.salvage(noise)] == [(0, len(noise), None)]
+    assert time.process_time() - start < 30
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 12)) * rng.uniform(0.2, 3, (600, 1))

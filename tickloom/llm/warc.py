@@ -22,10 +22,11 @@ from tickloom.llm.shared import shared_folder
 
 ARCHIVE_BYTES = 8 << 20
 #: Compressed bytes given to the decompressor at once.
-FEED = 16 << 10
+FEED = 4 << 10
 # Fixed values of the format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAGIC, VERSION_LINE = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
+MAGIC, VERSION_LINE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]"), re.compile(rb"WARC/1\.[01]\r\n")
+HEADER_LINE, LENGTH = re.compile(rb"([^:\r\n]*):([^\r]*(?:\r(?!\n)[^\r]*)*)\r\n"), re.compile("[0-9]{1,18}")
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -114,73 +115,154 @@ class Damage(Exception):
     pass
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """One whole gzip member and the place after it; its own checksum and length are checked."""
+class _Marks:
+    """Places of gzip marks, version lines and zero bytes in an archive; going forward, each byte is searched once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.zipped, self.plain, self.zero = data, -1, -1, (0, -1)
+
+    def after(self, at: int) -> int:
+        """The first gzip mark with a whole header or version line at or after a place, else the end."""
+        if self.zipped < at:
+            self.zipped = next((m.start() for m in MAGIC.finditer(self.data, at) if _has_header(self, m.start())), len(self.data))
+        if self.plain < at:
+            found = VERSION_LINE.search(self.data, at)
+            self.plain = found.start() if found else len(self.data)
+        return min(self.zipped, self.plain)
+
+    def text_end(self, at: int) -> int:
+        """The place after the first zero byte at or after a place, beyond the end if there is none."""
+        begin, end = self.zero
+        if not begin <= at <= end:
+            found = self.data.find(b"\0", at, begin if at < begin <= end else len(self.data))
+            # Nothing between ``at`` and the stretch known before: that stretch only starts earlier.
+            end = found if found >= 0 else end if at < begin <= end else len(self.data)
+            self.zero = at, end
+        return end + 1
+
+
+def _has_header(marks: _Marks, at: int) -> bool:
+    """Whether a gzip header that starts at ``at`` ends inside the archive.
+
+    The decompressor itself would read a name without an end up to the end of the archive at each false mark.
+    """
+    data, flags = marks.data, marks.data[at + 3]
+    place = at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place:place + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            place = marks.text_end(place) if place < len(data) else place
+    return place + (2 if flags & 2 else 0) < len(data)
+
+
+def _inflate(marks: _Marks, view: memoryview, at: int) -> tuple[bytes, int | None, str]:
+    """Content of a gzip member, the place after it, and "".
+
+    Where its header, data, checksum or length are damaged: the content up to some FEED bytes before, None, the reason.
+    """
+    if not _has_header(marks, at):
+        return b"", None, "gzip: header cut off"
     unpack, parts = zlib.decompressobj(31), []
     try:
-        while not unpack.eof and at < len(data):
-            parts.append(unpack.decompress(data[at:at + FEED]))
+        while not unpack.eof and at < len(view):
+            parts.append(unpack.decompress(view[at:at + FEED]))
             at += FEED
     except zlib.error as e:
-        raise Damage(f"gzip: {e}") from None
+        return b"".join(parts), None, f"gzip: {e}"
     if not unpack.eof:
-        raise Damage("gzip: cut off")
-    return b"".join(parts), min(at, len(data)) - len(unpack.unused_data)
+        return b"".join(parts), None, "gzip: cut off"
+    return b"".join(parts), min(at, len(view)) - len(unpack.unused_data), ""
 
 
 def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Header fields, block and the place after the record that starts at ``at``; Damage where a check fails."""
+    """Header fields, block and the place after the record that starts at ``at``; Damage where a check fails.
+
+    The header is read line by line, so a failed try ends at the next version line at the latest.
+    """
     version = VERSION_LINE.match(raw, at)
     if not version:
         raise Damage("no version line")
-    end = raw.find(b"\r\n\r\n", version.end() - 2)
-    if end < 0:
-        raise Damage("header not ended")
-    fields = {}
-    for line in raw[version.end():end].decode("utf-8", "replace").split("\r\n"):
-        key, mark, value = line.partition(":")
-        if line and not mark:
-            raise Damage("bad header line")
-        fields[key.strip().lower()] = value.strip()
-    if not fields.get("content-length", "").isdigit() or not fields.get("warc-type"):
+    end, fields = version.end(), {}
+    while raw[end:end + 2] != b"\r\n":
+        line = HEADER_LINE.match(raw, end)
+        if not line:
+            raise Damage("bad header line" if raw.find(b"\r\n", end, end + 8192) >= 0 else "header not ended")
+        fields[line[1].decode("utf-8", "replace").strip().lower()] = line[2].decode("utf-8", "replace").strip()
+        end = line.end()
+    if not LENGTH.fullmatch(fields.get("content-length", "")) or not fields.get("warc-type"):
         raise Damage("no type or length")
-    stop = end + 4 + int(fields["content-length"])
+    stop = end + 2 + int(fields["content-length"])
     if raw[stop:stop + 4] != b"\r\n\r\n":
         raise Damage("record end not found")
-    block = raw[end + 4:stop]
+    block = raw[end + 2:stop]
     if fields["warc-type"] == "response" and fields.get("warc-payload-digest", "") != "sha1:" + bare_digest(block):
         raise Damage("payload digest differs")
     return fields, block, stop + 4
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
-    """(start, end, fields, block, reason) of an archive, compressed by member or plain.
-
-    After a failed check the bytes up to the next start that reads as a valid record (the next gzip member or
-    version line) are one gap, with fields None and the reason; later records are recovered. Every byte belongs to one record or gap.
-    """
-    view, at, gap, reason = memoryview(data), 0, None, ""
-    while at < len(data):
+def _inside(raw: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """Records and gaps of the content of one member, by places in that content."""
+    marks, at, gap, reason = _Marks(raw), 0, None, ""
+    while at < len(raw):
         try:
-            if data[at:at + 3] == MAGIC:
-                raw, end = _inflate(view, at)
-                fields, block, stop = parse(raw)
-                if stop != len(raw):
-                    raise Damage("bytes after the record in its member")
-            else:
-                fields, block, end = parse(data, at)
+            fields, block, end = parse(raw, at)
         except Damage as e:
             if gap is None:
                 gap, reason = at, str(e)
-            zipped = data.find(MAGIC, at + 1)
-            plain = VERSION_LINE.search(data, at + 1)
-            at = min(p for p in (zipped if zipped >= 0 else len(data), plain.start() if plain else len(data)))
+            found = VERSION_LINE.search(raw, at + 1)
+            at = found.start() if found else len(raw)
             continue
         if gap is not None:
             yield gap, at, None, b"", reason
             gap = None
         yield at, end, fields, block, ""
         at = end
+    if gap is not None:
+        yield gap, len(raw), None, b"", reason
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """(start, end, fields, block, reason) of an archive of gzip members and plain records.
+
+    After a failed check the bytes up to the next start that reads as a valid record (the next gzip member or
+    version line) are one gap, with fields None and the reason; later records are recovered. Every byte belongs to
+    one record or gap. A member may hold any number of records: the first row of a member spans it, further rows
+    are empty spans at its end, and a gap among them names its bytes of the content in the reason. Of a member
+    that fails its own check, the responses before its last readable one whose payload digest holds are kept, as
+    empty spans at its start; a sound member without any record is a gap.
+    """
+    view, marks, at, gap, reason = memoryview(data), _Marks(data), 0, None, ""
+    while at < len(data):
+        rows, end, why = [], None, ""
+        if MAGIC.match(data, at):
+            raw, end, why = _inflate(marks, view, at)
+            for a, b, fields, block, damage in _inside(raw):
+                if fields is None:
+                    rows.append((None, b"", f"{damage} (bytes {a} to {b} of the member)"))
+                elif end is not None or (fields["warc-type"] == "response" and b < len(raw)):
+                    rows.append((fields, block, ""))
+            why = why or ("" if any(r[0] for r in rows) else rows[0][2] if rows else "empty member")
+            if end is None:
+                rows = [r for r in rows if r[0]]
+        else:
+            try:
+                fields, block, end = parse(data, at)
+                rows = [(fields, block, "")]
+            except Damage as e:
+                why = str(e)
+        if gap is not None and any(r[0] for r in rows):
+            yield gap, at, None, b"", reason
+            gap = None
+        if why:  # nothing sound starts here, but for what a damaged member gave
+            yield from ((at, at, *r) for r in rows if r[0])
+            if gap is None:
+                gap, reason = at, why
+            at = marks.after(at + 1) if end is None else end
+            continue
+        for n, row in enumerate(rows):
+            yield end if n else at, end, *row
+        at = end
     if gap is not None:
         yield gap, len(data), None, b"", reason
 
