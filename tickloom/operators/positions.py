@@ -5,6 +5,8 @@ off, both together flip it. Latch maps compose, so a block only passes one small
 summary on, and no series is ever walked in one task.
 """
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from tickloom.operators.sequence import (BLOCK, FAN, block_no, block_window, car
 
 LEDGER = ["entry_time", "entry_price", "exit_time", "exit_price", "quantity", "gross_pnl",
           "fees", "net_pnl", "return_pct", "holding_bars", "forced_exit"]
+#: Run keys that change prices and cash but not the bars of a trade.
+SETTINGS = ("scenario", "size_pct")
 
 
 @dataclass(frozen=True)
@@ -194,31 +198,49 @@ def equity_curve(bars: DataFrame, trades: DataFrame, runs: DataFrame, bar_keys:
 
     ``bars`` carry ``ord``; ``trades`` is a ``ledger``; ``runs`` lists the run keys beyond
     the bar keys (one row per strategy, scenario and size; broadcast). A bar takes the
-    latest trade at or before it, found by an as-of window over (run, block), so a long
-    trade or a long flat stretch is never one join key. ``bar_carry`` deducts the
-    constant carry of ``CostModel.carry_rate`` while a trade is on.
+    latest trade at or before it, found by an as-of window over (rule, block), so a long
+    trade or a long flat stretch is never one join key. Runs of one rule differ in ``SETTINGS``
+    only and share their trades, so bars are matched once per rule, with the cash of its runs
+    as an array, and become a row per run afterwards. ``bar_carry`` deducts the constant carry
+    of ``CostModel.carry_rate`` while a trade is on.
     """
     run = [*bar_keys, *run_keys]
-    fields = ["cash_before", "cash_after", "quantity", "exit_ord", "forced_exit", "size_pct",
-              "entry_ord", "carry_rate"]
-    trade = trades.select(*run, F.struct(*fields).alias("_t"))
-    left = bars.select(*bar_keys, "ord", "ts", "close").crossJoin(F.broadcast(runs.select(*run_keys)))
+    rule = [c for c in run_keys if c not in SETTINGS]
+    setting = [c for c in run_keys if c in SETTINGS]
+    key = [*bar_keys, *rule]
+    listed = F.broadcast(runs.select(*run_keys).distinct())
+    shared = ["entry_ord", "exit_ord", "forced_exit"]
+    cash = F.struct(*[F.col(c).alias(f"_{c}") for c in setting],
+                    "cash_before", "cash_after", "quantity", F.col("size_pct").alias("size"), "carry_rate")
+    trade = trades.join(listed, run_keys, "left_semi").groupBy(*key, *shared).agg(F.collect_list(cash).alias("cash"))
+    trade = trade.select(*key, F.struct(*shared, "cash").alias("_t"))
+    left = bars.select(*bar_keys, "ord", "ts", "close")
+    if rule:
+        left = left.crossJoin(F.broadcast(runs.select(*rule).distinct()))
     left = left.withColumns({"_side": F.lit(1), "_t": F.lit(None).cast(trade.schema["_t"].dataType)})
-    right = trade.select(*run, F.col("_t.entry_ord").alias("ord"), F.lit(0).alias("_side"), "_t")
+    right = trade.select(*key, F.col("_t.entry_ord").alias("ord"), F.lit(0).alias("_side"), "_t")
     both = left.unionByName(right, allowMissingColumns=True)
     both = both.withColumn("_blk", int_div(F.col("ord"), block))
-    e = scan(both, run, ["ord", "_side"], "_blk", {"_m": ("_t", "last")}).filter("_side = 1")
+    e = scan(both, key, ["ord", "_side"], "_blk", {"_m": ("_t", "last")}).filter("_side = 1")
     m = F.col("_m")
-    done = F.coalesce(F.col("ord") >= m["exit_ord"], F.lit(False))
-    held = m.isNotNull() & (~done | (m["forced_exit"] & (F.col("ord") == m["exit_ord"])))
-    marked = m["cash_before"] * (1 - m["size_pct"] / 100) + m["quantity"] * F.col("close")
     if bar_carry:
-        e = scan(e, run, ["ord"], "_blk", {"_cum": ("close", "sum")})
+        e = scan(e, key, ["ord"], "_blk", {"_cum": ("close", "sum")})
         e = e.withColumn("_start", F.when(F.col("ord") == m["entry_ord"], F.col("_cum") - F.col("close")))
-        e = scan(e, run, ["ord"], "_blk", {"_base": ("_start", "last")})
-        marked = marked - m["quantity"] * m["carry_rate"] * (F.col("_cum") - F.col("_base"))
-    equity = (F.when(m.isNull(), F.lit(float(capital)))
-              .when(done, m["cash_after"]).otherwise(marked))
+        e = scan(e, key, ["ord"], "_blk", {"_base": ("_start", "last")})
+    e = e.join(listed, rule) if rule else e.crossJoin(listed)
+
+    def own(x):
+        return reduce(and_, [x[f"_{c}"] == F.col(c) for c in setting], F.lit(True))
+
+    e = e.withColumn("_c", F.get(F.filter(m["cash"], own), F.lit(0)))
+    c = F.col("_c")
+    done = F.coalesce(F.col("ord") >= m["exit_ord"], F.lit(False))
+    held = c.isNotNull() & (~done | (m["forced_exit"] & (F.col("ord") == m["exit_ord"])))
+    marked = c["cash_before"] * (1 - c["size"] / 100) + c["quantity"] * F.col("close")
+    if bar_carry:
+        marked = marked - c["quantity"] * c["carry_rate"] * (F.col("_cum") - F.col("_base"))
+    equity = (F.when(c.isNull(), F.lit(float(capital)))
+              .when(done, c["cash_after"]).otherwise(marked))
     return e.withColumns({"equity": equity, "in_position": held}).select(
         *run, "_blk", "ord", "ts", "close", "equity", "in_position")
 
