@@ -308,6 +308,15 @@ def test_contaminations_of_documents_shorter_than_the_item(docs, spark):
     assert [r.doc_id for r in decontaminate.clean(docs(rows), bench).collect()] == [90]
 
 
+def test_contaminations_of_items_of_one_or_two_words(docs, spark):
+    bench = spark.createDataFrame([(1, "Secret answer"), (2, "secret, answer!"), (3, "yes"), (4, " ... "), (5, None), (3, "yes")],
+                                  "item_id long, text string")
+    rows = [(1, "secret ANSWER."), (2, "the secret answer"), (3, "Yes"), (4, "answer secret"), (5, ""), (6, None), (7, "..."), (1, "Yes!")]
+    got = sorted(tuple(r) for r in decontaminate.contaminations(docs(rows), bench).collect())
+    assert got == [(1, 1, 0, 2, 0, 1.0), (1, 2, 0, 2, 0, 1.0), (1, 3, 0, 1, 0, 1.0), (3, 3, 0, 1, 0, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs(rows), bench).collect()) == [2, 4, 5, 6, 7]
+
+
 def test_fingerprint_radius_is_guaranteed():
     rng = np.random.default_rng(1)
     index = decontaminate.Index([(0, prose(random.Random(2), 20))])

@@ -44,6 +44,15 @@ def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams, (size[SHINGLE:] - size[:-SHINGLE]) if len(grams) else np.zeros(0, np.int64), words.first
 
 
+def _short_texts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(text, word hashes) of the texts that have words, but too few for a shingle: each is one shingle as a whole."""
+    words = split_words(_PLAIN[data], bounds)
+    hashes, count = words.hashes(), np.diff(words.first)
+    for i in np.flatnonzero((count > 0) & (count < SHINGLE)):
+        a, b = words.first[i], words.first[i + 1]
+        yield int(i), tuple(hashes[a:b].tolist())
+
+
 def _fingerprints(grams: np.ndarray, weights: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """SimHash of ``count`` shingles from each start (ascending)."""
     out = np.zeros(len(starts), U64)
@@ -75,6 +84,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         text = pa.array([t or "" for _, t in items], pa.large_string())
         self.ids, self.grams, self.weights = [], [], []
+        self.short: dict[tuple[int, ...], list[int]] = {}
         row = 0
         for lo, hi, data, bounds in text_slices(text):
             grams, weights, first = _shingles(data, bounds)
@@ -84,6 +94,8 @@ class Index:
                     self.ids.append(items[row + i][0])
                     self.grams.append(grams[a:b])
                     self.weights.append(weights[a:b])
+            for i, key in _short_texts(data, bounds):
+                self.short.setdefault(key, []).append(items[row + i][0])
             row += hi - lo
         self.counts = np.array([len(g) for g in self.grams], int)
         self.prints = np.array([_fingerprints(g, w, np.zeros(1, int), len(g))[0]
@@ -111,9 +123,13 @@ class Index:
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(row, item_id, first word, words, distance, similarity): the best window of each item in each text."""
-        if not len(self.every):
+        if not len(self.every) and not self.short:
             return
         for row, hi, data, bounds in text_slices(column):
+            for i, key in _short_texts(data, bounds) if self.short else ():
+                yield from ((row + i, item, 0, len(key), 0, 1.0) for item in sorted(set(self.short.get(key, ()))))
+            if not len(self.every):
+                continue
             grams, weights, first = _shingles(data, bounds)
             hit = self.filter[(grams & U64((1 << _FILTER_BITS) - 1)).astype(int)]
             spot = np.flatnonzero(hit)
@@ -161,7 +177,7 @@ class Index:
 
 
 def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of BLOCK_ITEMS items or so each; null and repeated items are fine, items under three words are left out."""
+    """Indexes of BLOCK_ITEMS items or so each; null and repeated items are fine, items without words are left out."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = -(-items.count() // BLOCK_ITEMS)
@@ -176,8 +192,9 @@ MATCH = "doc_id long, item_id long, start_word long, n_words long, distance int,
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row (doc_id, item_id, start_word, n_words, distance, similarity) for each item found in each document.
 
-    Words are runs without white space and ASCII punctuation, any case. Null texts hold nothing; a repeated
-    doc_id gives rows for each of its rows; other columns are ignored.
+    Words are runs without white space and ASCII punctuation, any case. An item of one or two words is one shingle, as
+    is a document of that length, so it is found in documents that say just this; in longer ones so few words are
+    no sign of the item. Null texts hold nothing; a repeated doc_id gives rows for each of its rows; other columns are ignored.
     """
     text, out = keyed_text(docs), None
     for index in index_blocks(benchmark):
