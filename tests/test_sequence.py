@@ -218,3 +218,35 @@ def test_long_averages_over_several_sub_blocks(spark):
 def test_negative_numbers_floor(spark):
     df = spark.createDataFrame([(-1,), (-8,), (-9,), (7,), (8,)], "v bigint").select(sq.int_div(F.col("v"), 8))
     assert list(itertools.chain.from_iterable(df.collect())) == [-1, -1, -2, 0, 1]
+
+
+@pytest.fixture
+def settled_plans(monkeypatch):
+    """The executed plans of the frames that the quantiles end the lineage of."""
+    plans, settle = [], quantiles.settled
+    monkeypatch.setattr(quantiles, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    return plans
+
+
+def test_quantiles_sort_no_rows_with_bounds(spark, settled_plans):
+    df = spark.range(5000).selectExpr("id % 3 AS k", "cast(pmod(id * 7919, 5000) AS double) AS x")
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()}
+    for k, r in got.items():
+        xs = sorted(float(i * 7919 % 5000) for i in range(5000) if i % 3 == k)
+        for name, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
+            p = (len(xs) - 1) * q
+            assert r[name] == pytest.approx(xs[int(p)] + (xs[min(int(p) + 1, len(xs) - 1)] - xs[int(p)]) * (p - int(p)))
+    assert settled_plans and not any("SortAggregate" in p or "SortMergeJoin" in p for p in settled_plans)
+
+
+def test_quantiles_of_many_groups_are_looked_up(spark, monkeypatch, settled_plans):
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", 2)
+    monkeypatch.setattr(joins, "LOOKUP_ROWS", 500)  # small: the hot key is spread
+    rows = [(k, float(i % 40), None if i % 7 else float(i)) for k, n in (("hot", 3000), ("cold", 30), ("one", 1)) for i in range(n)]
+    got = {(r.k, r.column): r for r in exact_quantiles(
+        spark.createDataFrame(rows, "k string, x double, y double"), ["k"], ["x", "y"], {"low": 0.0, "q2": 0.5}).collect()}
+    for (k, c), r in got.items():
+        xs = sorted(row["kxy".index(c)] for row in rows if row[0] == k and row["kxy".index(c)] is not None)
+        p = (len(xs) - 1) * 0.5
+        assert r.low == xs[0] and r.q2 == pytest.approx((xs[int(p)] + xs[min(int(p + 0.5), len(xs) - 1)]) / 2)
+    assert len(got) == 6 and not any("SortAggregate" in p for p in settled_plans)

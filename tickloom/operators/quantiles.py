@@ -2,10 +2,13 @@
 
 A sketch of each key and column (KLL, one pass, a few kilobytes) bounds the values that a wanted rank can have. A second
 pass counts the values inside the bounds one by one and all others by the zone between bounds they lie in, combined
-before the exchange. What is left per rank is about ``2 * MARGIN`` of the values. Where that is more than ``BUCKET_ROWS``,
+before the exchange; the rows carry no bounds there, so that no task sorts them. Bounds of few groups are copied to every
+task and rows then do not move at all; otherwise equal values are counted first and looked up by key. What is left per rank is about ``2 * MARGIN`` of the values. Where that is more than ``BUCKET_ROWS``,
 it is cut at its own quantiles and only the part that holds the rank is kept, until it is not. So no sort sees a whole key.
 """
 from collections.abc import Callable
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ SKETCH_K = 4000
 MARGIN = 4 * 2.296 / SKETCH_K ** 0.9021
 #: Shares at which a sketch is asked for its values; a bound is the next one outside.
 GRID = 400
+#: Groups whose bounds are copied to every task, a few hundred bytes each.
+FEW_GROUPS = 1 << 12
 #: Distinct values that are sorted in one task for one rank.
 BUCKET_ROWS = 1 << 20
 #: Parts a bucket is cut into at once.
@@ -47,6 +52,13 @@ def _grid(i: Column, beyond: float) -> Column:
     return F.when((i > 0) & (i < GRID), F.try_element_at("_grid", (i + 1).cast("int"))).otherwise(F.lit(beyond))
 
 
+def _beside(rows: DataFrame, bounds: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """The rows with the bounds of their group."""
+    if few:
+        return rows.join(F.broadcast(bounds), by)
+    return lookup(rows, bounds, by, "inner", counts=bounds.select(*by, F.col("_all").alias("_rows")))
+
+
 def rank_values(df: DataFrame, keys: list[str], values: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(keys, column, n_values, one column for each of ``ranks``): the value at 0-based sorted position ``ranks[name](n)``.
 
@@ -59,13 +71,15 @@ def rank_values(df: DataFrame, keys: list[str], values: list[str], ranks: dict[s
     sketches = rows.groupBy(*by).agg(F.call_function("kll_sketch_agg_double", F.col("_v"), F.lit(SKETCH_K)).alias("_sketch"),
                                      F.count(F.lit(1)).alias("_all"))
     bounds = settled(_bounds(sketches, ranks))
-    placed = lookup(rows, bounds, by, "inner", counts=bounds.select(*by, F.col("_all").alias("_rows")))
-    inside = F.exists("_wanted", lambda w: (F.col("_v") >= w["low"]) & (F.col("_v") <= w["high"]))
-    zone = F.aggregate("_wanted", F.lit(0), lambda k, w: k + (F.col("_v") >= w["low"]).cast("int") + (F.col("_v") > w["high"]).cast("int"))
+    few = bounds.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    v, limits = F.col("_v"), [(F.col("_wanted")[i]["low"], F.col("_wanted")[i]["high"]) for i in range(len(ranks))]
+    inside = reduce(or_, [(v >= low) & (v <= high) for low, high in limits])
+    zone = reduce(add, [(v >= low).cast("int") + (v > high).cast("int") for low, high in limits])
+    rows = rows.withColumn("_n", F.lit(1).cast("bigint")) if few else rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = _beside(rows, bounds, by, few).select(*by, "_v", "_n", zone.alias("_zone"), F.when(inside, v).alias("_in"))
     # values outside all bounds count together by zone; their least stands for them
-    counted = placed.groupBy(*by, zone.alias("_zone"), F.when(inside, F.col("_v")).alias("_in")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.first("_wanted").alias("_wanted"), F.first("_all").alias("_all"))
-    each = counted.withColumn("_w", F.explode("_wanted")).select(
+    counted = placed.groupBy(*by, "_zone", "_in").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_least"))
+    each = _beside(counted, bounds, by, few).withColumn("_w", F.explode("_wanted")).select(
         *by, "_all", F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at"), F.col("_w.low").alias("_low"),
         F.col("_w.high").alias("_high"), "_least", "_in", "_n")
     within = F.col("_in").isNotNull() & F.col("_in").between(F.col("_low"), F.col("_high"))
