@@ -1,11 +1,12 @@
 import itertools
 import random
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
-from tickloom.operators import joins, quantiles, ranges
+from tickloom.operators import diagnostics, joins, quantiles, ranges
 from tickloom.operators import sequence as sq
 from tickloom.operators.positions import hold
 from tickloom.operators.quantiles import exact_quantiles, upper_median
@@ -250,3 +251,19 @@ def test_quantiles_of_many_groups_are_looked_up(spark, monkeypatch, settled_plan
         p = (len(xs) - 1) * 0.5
         assert r.low == xs[0] and r.q2 == pytest.approx((xs[int(p)] + xs[min(int(p + 0.5), len(xs) - 1)]) / 2)
     assert len(got) == 6 and not any("SortAggregate" in p for p in settled_plans)
+
+
+def _trades(spark):
+    return spark.range(900).selectExpr(
+        "if(id % 4 = 0, 'b', 'a') AS symbol", "cast(id % 50 AS double) AS mfe", "-cast(id % 7 AS double) AS mae",
+        "cast(id % 11 - 5 AS double) AS net_return_pct", "cast(id % 13 - 5 AS double) AS gross_return_pct", "1.0D AS cost_pct")
+
+
+def test_excursion_medians_sort_no_trades(spark, settled_plans):
+    got = {(r.symbol, r.outcome): r for r in diagnostics.excursion_table(_trades(spark), ["symbol"]).collect()}
+    rows = [("ab"[i % 4 == 0], i % 50, -(i % 7), i % 11 - 5) for i in range(900)]
+    assert len(got) == 6
+    for (symbol, outcome), r in got.items():
+        own = [x for x in rows if x[0] == symbol and outcome in ("all", "winners" if x[3] > 0 else "losers")]
+        assert (r["count"], r.median_mfe, r.median_mae) == (len(own), median(x[1] for x in own), median(x[2] for x in own))
+    assert settled_plans and not any("SortAggregate" in p or "SortMergeJoin" in p for p in settled_plans)
