@@ -267,3 +267,11 @@ def test_excursion_medians_sort_no_trades(spark, settled_plans):
         own = [x for x in rows if x[0] == symbol and outcome in ("all", "winners" if x[3] > 0 else "losers")]
         assert (r["count"], r.median_mfe, r.median_mae) == (len(own), median(x[1] for x in own), median(x[2] for x in own))
     assert settled_plans and not any("SortAggregate" in p or "SortMergeJoin" in p for p in settled_plans)
+
+
+def test_cost_medians_sort_no_trades(spark, settled_plans):
+    got = {r.symbol: r for r in diagnostics.cost_decomposition(_trades(spark), ["symbol"]).collect()}
+    for symbol, r in got.items():
+        own = [i for i in range(900) if "ab"[i % 4 == 0] == symbol]
+        assert (r.median_gross, r.median_net) == (median(i % 13 - 5 for i in own), median(i % 11 - 5 for i in own))
+    assert len(got) == 2 and settled_plans and not any("SortAggregate" in p or "SortMergeJoin" in p for p in settled_plans)
