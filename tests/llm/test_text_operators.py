@@ -368,3 +368,30 @@ def test_quality(docs, spark):
     assert {r.doc_id for r in quality.accepted(docs(good[9:] + bad, extra=True), model).collect()} == {i for i, _ in good[9:]}
     none = quality.fit(docs(good), labels.where("label = 1"))
     assert {round(r.score, 6) for r in quality.score(docs(good), none).collect()} == {0.5}
+
+
+def test_quality_learns_from_every_labelled_document(docs, spark):
+    rows = [(i, "plain words " * (1 + i % 5) + "X" * (i % 9)) for i in range(10_400)] + [(20_000 + i, "BUY! " * (1 + i % 7)) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 20_000)) for i, _ in rows], "doc_id long, label int")
+    model = quality.fit(docs(rows), labels)
+    x = quality.text_features(pa.array([t for _, t in rows]))
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=0, atol=1e-8)
+
+
+def test_quality_fits_all_pairs(docs, spark, monkeypatch):
+    monkeypatch.setattr(quality, "CUT_SCORES", 20)  # small: the range of the cut is narrowed first
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(5, 40)) + " BUY!!" * rng.randint(0, 8 if i % 3 else 20)) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, label int")
+    model = quality.fit(docs(rows), labels)
+    x, good = quality.text_features(pa.array([t for _, t in rows])), np.array([i % 3 > 0 for i, _ in rows])
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -6, 6)
+    diff = (z[good][:, None, :] - z[~good][None, :, :]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-diff @ w))
+        curve = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + 1e-3 * np.eye(len(w))
+        w -= np.linalg.solve(curve, diff.T @ (p - 1) / len(diff) + 1e-3 * w)
+    assert np.abs(model.weights - w).max() < 2e-3 * np.abs(w).max()
+    scores = np.sort(z @ model.weights)  # a third of the labels is 0
+    assert model.cut == pytest.approx(scores[49:51].mean(), abs=1e-6)
