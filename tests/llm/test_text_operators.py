@@ -395,3 +395,17 @@ def test_quality_fits_all_pairs(docs, spark, monkeypatch):
     assert np.abs(model.weights - w).max() < 2e-3 * np.abs(w).max()
     scores = np.sort(z @ model.weights)  # a third of the labels is 0
     assert model.cut == pytest.approx(scores[49:51].mean(), abs=1e-6)
+
+
+def test_tasks_of_one_worker_share_tokenised_runs(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": lambda _: 0})())}))
+    learned, learn = [], packing.Encoder._learn
+    monkeypatch.setattr(packing.Encoder, "_learn", lambda self, runs: learned.append(set(runs)) or learn(self, runs))
+    run, out = packing._pieces(str(public_tokenizers.path("word_bpe_49k.json")), 2048), []
+    for text in ("alpha shared words", "beta shared words"):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+        out += [b"".join(b.column("ids").to_pylist()) for b in run(iter([batch]))]
+    assert learned[1] == {"beta"}
+    whole = packing.Encoder(str(public_tokenizers.path("word_bpe_49k.json"))).tokenizer
+    for text, ids in zip(("alpha shared words", "beta shared words"), out, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, packing.END_ID]

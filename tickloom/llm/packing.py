@@ -35,7 +35,8 @@ STEP_TOKENS = 1 << 18
 class Encoder:
     """Token ids of whole texts, each distinct run between blanks tokenised once while it stays in the cache.
 
-    The tokenizer splits at white space before anything else, so the ids of a text are those of its runs.
+    The tokenizer splits at white space before anything else, so the ids of a text are those of its runs. Tasks of one
+    worker share the cache, as half of the runs of a task have come up in the one before.
     """
     #: Runs of each of the two generations kept; a run met again moves to the younger one.
     CACHE = 300_000
@@ -91,10 +92,6 @@ class Encoder:
             ends = np.flatnonzero(ids == self.cut)
             self._keep(group, ids, np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(ids)]]))
 
-    def forget(self) -> None:
-        """Drop the runs kept, not the tokenizer."""
-        self.known, self.old = {"": b""}, {}
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -139,7 +136,6 @@ def _pieces(path: str, window: int):
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)],
                                                  names=[c.split()[0] for c in PIECE.split(", ")])
-        encoder.forget()
     return run
 
 
