@@ -145,6 +145,23 @@ def test_remove_repeats_odd_tables(docs):
     assert [(s.start, s.end) for r in got if r.doc_id == 2 for s in r.spans] == [(0, 14)]
 
 
+def test_remove_repeats_exchanges_texts_once(spark, docs, corpus):
+    # as with large tables, in a session that infers filters
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.constraintPropagation.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        out = substring.remove_repeats(docs(corpus))
+        out.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    packed = [line for line in plan.splitlines() if "MapInArrow" in line and re.search(r"zipped#\d+\]", line)]
+    assert len(packed) == 2, plan  # for the joins by key, and for rows without an id
+
+
 def test_remove_repeats_of_a_repeated_id_with_other_texts(docs):
     line = lambda c: " ".join(f"{c}{i}" for i in range(20))
     rows = [(1, line("a")), (2, line("a")), (2, line("b")), (2, "x y " + line("c")), (3, line("b")), (4, line("c") + " z"), (1, line("c"))]

@@ -122,7 +122,8 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     key = ["doc_id", "digest"]  # a row, or equal ones: an id may be repeated with other texts
     text = keyed_text(docs).select("doc_id", F.xxhash64("text").alias("digest"), "text")
     packed = zipped_text(text, "digest")
-    known = packed.where("doc_id IS NOT NULL")  # one exchange by the key serves the three joins below
+    # one exchange by the key serves the three joins below; an inner one would ask for a digest that is not null by itself
+    known = packed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     digest = text.where("doc_id IS NOT NULL").select(*key, F.xxhash64(F.lit(1), "text").alias("more"))
     least = digest.groupBy("digest", "more").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = stored(digest.join(least, ["digest", "more"]).where("doc_id > least").select(*key).distinct())
