@@ -79,6 +79,33 @@ def test_one_large_group_of_near_copies(docs):
     assert got == {i: 1000 if i in joined else i for i in sets}
 
 
+def test_copies_with_words_of_their_own_are_not_compared_in_pairs(docs, monkeypatch):
+    """400 copies with 6 of 60 words changed for words no other has: at 0.47 they pass the sketches, but none can reach 0.8."""
+    rng = random.Random(5)
+    base, rows = prose(rng, 60).split(), []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(1, 59, 2), 6):
+            words[at] = f"own{i}x{at}"
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(5000 + i, rows[40 * i][1] + " more") for i in range(8)]
+    made, plain = [], minhash._compare
+    monkeypatch.setattr(minhash, "NODE_LIMIT", 8)
+    monkeypatch.setattr(minhash, "_compare", lambda r: made.append((p := plain(r)).count()) or p)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 2, 80).collect()}
+    assert got == {i: 1000 + 40 * (i - 5000) if i >= 5000 else i for i, _ in rows}
+    assert sum(made) < 1000
+
+
+def test_members_that_share_enough_with_other_components(spark):
+    members = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 2, 4), (5, 5, 2), (6, 6, 6)], "rep long, home long, component long")
+    sets = spark.createDataFrame([
+        (1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 6]), (3, [1, 2, 3, 7, 8]),  # 4 of 5, 4 of 5, 3 of 5
+        (4, [6, 9]), (5, [6, 10]),  # 6 lies in two components and homes, 9 and 10 in one set
+        (6, [11, 12, 13, 14, 15]), (6, [1])], "doc_id long, members array<long>")  # a repeated id
+    assert sorted(r.rep for r in minhash._sharing(members, sets, 80).collect()) == [1, 2, 6]
+
+
 def test_near_duplicates_odd_tables(docs):
     assert minhash.near_duplicates(docs([])).collect() == []
     got = minhash.near_duplicates(docs([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, None)])).collect()
