@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tickloom.llm import decontaminate, language, minhash, packing, quality, secret_scan, substring
+from tickloom.llm.shared import split_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "One"), (6, "x" * 5000), (7, "two words"), (8, "two words")]
@@ -172,6 +173,17 @@ def test_remove_repeats_odd_tables(docs):
     assert [(s.start, s.end) for r in got if r.doc_id == 2 for s in r.spans] == [(0, 14)]
 
 
+def test_kept_words_are_joined_row_by_row():
+    data = np.frombuffer("a  b\tcd e fé gx".encode(), np.uint8)
+    words = split_words(data, np.array([0, 8, 8, 14, len(data)]))  # "a  b\tcd ", "", "e fé g" cut off, and the rest
+    kept = np.array([0, 2, 3, 4, 5])
+    rows = np.searchsorted(kept, words.first)
+    text, at = substring._joined_words(data, words.start[kept], words.end[kept], rows)
+    assert [bytes(text[lo:hi]).decode() for lo, hi in zip(at[:-1], at[1:], strict=True)] == ["a cd", "", "e fé", "gx"]
+    text, at = substring._joined_words(data, words.start[:0], words.end[:0], np.zeros(5, int))
+    assert len(text) == 0 and at.tolist() == [0] * 5
+
+
 def test_remove_repeats_exchanges_texts_once(spark, docs, corpus):
     # as with large tables, in a session that infers filters
     options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.constraintPropagation.enabled": "true"}

@@ -83,32 +83,44 @@ def _remove(length: int):
             for lo, hi, data, bounds in zipped_slices(batch.column(1)):
                 words = split_words(data, bounds)
                 count = np.diff(words.first)
-                total, gone, kept, spans = [], [], [], []
+                # one place after the words of each row, so that no stretch runs on into the next row
+                base = words.first[:-1] + np.arange(hi - lo)
+                depth = np.zeros(len(words.start) + hi - lo + 1, np.int32)
                 for i in range(hi - lo):
-                    n, own = int(count[i]), starts[lo + i].as_py() or []
+                    own = starts[lo + i].values
+                    own = own.to_numpy() if own is not None else np.zeros(0, np.int32)
                     if copy[lo + i].as_py():
-                        own = range(n - length + 1)
-                    depth = np.zeros(n + 1, np.int32)
-                    own = np.array(own, int)
-                    np.add.at(depth, own, 1)
-                    np.add.at(depth, own + length, -1)
-                    stay = np.cumsum(depth[:n]) == 0
-                    at = words.first[i] + np.flatnonzero(stay)
-                    raw = data.tobytes() if hi - lo == 1 else None
-                    body = memoryview(raw) if raw is not None else data
-                    kept.append(b" ".join(bytes(body[s:e]) for s, e in zip(words.start[at], words.end[at], strict=True)))
-                    edge = np.diff(np.concatenate([[0], (~stay).astype(np.int8), [0]]))
-                    spans.append([{"start": int(s), "end": int(e)} for s, e in
-                                  zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)])
-                    total.append(n)
-                    gone.append(n - len(at))
+                        own = np.arange(count[i] - length + 1)
+                    np.add.at(depth, base[i] + own, 1)
+                    np.add.at(depth, base[i] + own + length, -1)
+                covered = np.cumsum(depth[:-1]) > 0
+                edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
+                opens, ends = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+                cuts = np.searchsorted(opens, np.append(base, len(covered)))
+                row = np.repeat(np.arange(hi - lo), np.diff(cuts))
+                stay = np.flatnonzero(~np.delete(covered, base + count))
+                rows = np.searchsorted(stay, words.first)
+                text, at = _joined_words(data, words.start[stay], words.end[stay], rows)
+                spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(x - base[row], pa.int32()) for x in (opens, ends)], fields=list(SPANS.value_type)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                     pa.array([k.decode() for k in kept], pa.string()), pa.array(spans, SPANS)],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(count - np.diff(rows), pa.int64()),
+                     pa.StringArray.from_buffers(hi - lo, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(text)), spans],
                     names=["doc_id", "n_words", "n_removed", "kept", "spans"])
     return run
 
 
+def _joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words of each row joined by one space, and the bounds of the rows in them; ``rows`` bounds words."""
+    spaced = np.ones(len(end), bool)
+    spaced[rows[1:][np.diff(rows) > 0] - 1] = False
+    text, depth = data.copy(), np.zeros(len(data) + 1, np.int8)
+    text[end[spaced]] = 0x20  # where another word follows, the byte after a word is white space
+    depth[start] += 1
+    depth[end + spaced] -= 1
+    return text[np.cumsum(depth[:-1], dtype=np.int8) > 0], np.concatenate([[0], np.cumsum(end - start + spaced)])[rows]
+
+
 def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans) for every document.
 
