@@ -98,6 +98,25 @@ def test_copies_with_words_of_their_own_are_not_compared_in_pairs(docs, monkeypa
     assert sum(made) < 1000
 
 
+def test_no_pair_is_measured_twice_and_chains_of_close_texts_meet_once(docs, monkeypatch):
+    """60 texts of 100 words, each 15 words on: neighbours are at 0.74, none has a link; all meet in the blocks of one home."""
+    words, made, plain = prose(random.Random(6), 1000).split(), [], minhash.measured
+    words = [f"{w}{i}" for i, w in enumerate(words)]
+    rows = [(i, " ".join(words[15 * i:15 * i + 100])) for i in range(60)] + [(100, " ".join(words[303:400]))]
+    monkeypatch.setattr(minhash, "NODE_LIMIT", 1)
+    monkeypatch.setattr(minhash, "measured", lambda p, s: made.extend(tuple(sorted(r)) for r in p.collect()) or plain(p, s))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 2, 80).collect()}
+    assert got == {i: 20 if i == 100 else i for i, _ in rows}
+    assert made and len(made) == len(set(made))
+
+
+def test_shingles_are_exchanged_once_and_joined_with_nothing(spark):
+    members = spark.createDataFrame([(1, 1, 1), (2, 2, 2)], "rep long, home long, component long")
+    sets = spark.createDataFrame([(1, [1, 2]), (2, [1, 2])], "doc_id long, members array<long>")
+    plan = minhash._sharing(members, sets, 80)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
 def test_members_that_share_enough_with_other_components(spark):
     members = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 2, 4), (5, 5, 2), (6, 6, 6)], "rep long, home long, component long")
     sets = spark.createDataFrame([

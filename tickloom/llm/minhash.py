@@ -11,19 +11,19 @@ members to its smallest one, and once these links are confirmed, nodes whose mem
 component are done. Elsewhere the members outside the node's main component are compared with all others; a
 node is small if it has few of them. Candidates are filtered by one-bit sketches and confirmed on full sets.
 
-A member of a large node only goes on if enough of its shingles lie in sets of other components and homes: a link at 0.8 needs
-0.8 of them in one such set, so this loses none. It takes one row for each shingle of these members, not for each pair,
-and leaves out the copies that have more words of their own than a link allows.
+At the deepest level a member of a large node is only compared if enough of its shingles lie in sets of other components and
+homes: a link at 0.8 needs 0.8 of them in one such set, so this loses none. It takes one row for each shingle of these
+members, not for each pair, and leaves out the copies that have more words of their own than a link allows. No pair is measured twice.
 
 The chance to miss a pair at 0.8, by calculation: trees 7.6e-7 at two levels (1.3e-6 when it is counted that all
 branches read the same 128 values), sketches 2.5e-8 on top (5.7e-5 at 27 bits). One tree of four levels alone,
 for pairs that share large nodes only, misses 8.1e-4 (1.2e-3); so members of large nodes go through two more trees,
 and the three together miss 5.4e-10 of these pairs (1.5e-8).
 
-Groups of copies edited too much for a link would still give many close pairs. Documents close to a common first member
-therefore meet once more, as differences from it: the size of the difference of two differences is that of the sets. Blocks of
-members outside the group's main component are held against blocks of all its members, exactly, and only
-links leave a task.
+Groups of copies edited too much for a link would still give many close pairs. Documents close to a common first member, or
+joined by a chain of such ones (a home), therefore meet once more, as differences from the home's smallest member: the size of the
+difference of two differences is that of the sets. Blocks of members outside the group's main component are held against blocks
+of all its members, exactly, and only links leave a task.
 """
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import (U64, components, gram_hashes, keyed_text, mix, sequence_hash, split_words, stored,
@@ -177,7 +177,9 @@ def full_sets(docs: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, shared): sizes and common shingles of the full sets of pairs (a, b)."""
+    """(a, b, na, nb, shared): sizes and common shingles of the full sets of pairs (a, b). Other sets are not shuffled."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = sets.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
     both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b"))
     return stored(both.select("a", "b", F.size("ma").alias("na"), F.size("mb").alias("nb"),
@@ -272,11 +274,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = stored(stars.select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct())
     sets = full_sets(docs, pairs, shingle)
     labels = components(_similar(measured(pairs, sets), percent))
-    homes = stored(pairs.select("a", "b").union(pairs.select("a", F.col("a").alias("b")).distinct())
-                   .groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("home")))
+    homes = components(pairs).select(F.col("id").alias("rep"), F.col("component").alias("home"))
     labels = _joined(labels, group_links(homes, sets, labels, percent))
 
-    wide = None
+    wide, done = None, pairs
     for tree in range(TREES):
         level, large = 2, None
         while True:
@@ -288,18 +289,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             rows = stored(rows.drop("up"))
             nodes = stored(_open_nodes(rows))
             last = level >= MAX_LEVELS
-            near = nodes if last else nodes.where(F.col("apart") <= NODE_LIMIT)
-            pairs = stored(_compare(rows.join(near, "path")).distinct())
-            sets = full_sets(docs, pairs, shingle, sets)
-            found = _similar(measured(pairs, sets), percent)
-            if not found.isEmpty():
-                labels = _joined(labels, found)
             large = nodes.where(F.col("apart") > NODE_LIMIT).select("path")
+            pairs = _compare(rows.join(nodes.where(F.col("apart") <= NODE_LIMIT), "path"))
+            if last and not large.isEmpty():
+                crowd = stored(rows.join(large, "path", "left_semi").select("rep").distinct())
+                sets = full_sets(docs, crowd.select(F.col("rep").alias("a"), F.col("rep").alias("b")), shingle, sets)
+                crowd = stored(_sharing(_placed(crowd, homes, labels), sets, percent))
+                pairs = pairs.union(_compare(rows.join(crowd, "rep", "left_semi").join(nodes.where(F.col("apart") > NODE_LIMIT), "path")))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
+            if not pairs.isEmpty():
+                done = done.union(pairs)
+                sets = full_sets(docs, pairs, shingle, sets)
+                found = _similar(measured(pairs, sets), percent)
+                if not found.isEmpty():
+                    labels = _joined(labels, found)
             if wide is None:
                 wide = stored(rows.join(large, "path", "left_semi").select("rep").distinct())
-                if not wide.isEmpty():
-                    sets = full_sets(docs, wide.select(F.col("rep").alias("a"), F.col("rep").alias("b")), shingle, sets)
-                    wide = stored(_sharing(_placed(wide, homes, labels), sets, percent))
             if last or large.isEmpty() or wide.isEmpty():
                 break
             level += 2
@@ -339,9 +345,10 @@ def _sharing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     each = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(
         "rep", "home", "component", F.size("members").alias("size"), F.explode("members").alias("shingle"))
-    met = (each.groupBy("shingle").agg(*(f(c).alias(f"{n}_{c}") for c in ("home", "component") for n, f in (("least", F.min), ("most", F.max))))
-           .where("least_home < most_home AND least_component < most_component").select("shingle"))
-    return (each.select("rep", "size", "shingle").join(met, "shingle").groupBy("rep")
+    among = Window.partitionBy("shingle")  # each shingle of a member is exploded and exchanged once, and stays one row
+    met = (each.withColumns({f"{n}_{c}": f(c).over(among) for c in ("home", "component") for n, f in (("least", F.min), ("most", F.max))})
+           .where("least_home < most_home AND least_component < most_component"))
+    return (met.groupBy("rep")
             .agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size")).where(100 * F.col("n") >= percent * F.col("size")).select("rep"))
 
 
