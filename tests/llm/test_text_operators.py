@@ -110,6 +110,23 @@ def test_no_pair_is_measured_twice_and_chains_of_close_texts_meet_once(docs, mon
     assert made and len(made) == len(set(made))
 
 
+def test_members_alone_in_a_node_are_not_exchanged_further(docs, monkeypatch):
+    """Labels and homes meet only rows of nodes with several members, and signatures and sets of others travel nowhere."""
+    rng, seen, plain = random.Random(8), [], minhash._open_nodes
+    rows = [(i, prose(rng, 40)) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(3)]
+
+    def watched(r):
+        seen.append([tuple(x) for x in r.groupBy("path").count().select("path", "count").collect()])
+        assert "sig" not in r.columns
+        return plain(r)
+
+    monkeypatch.setattr(minhash, "_open_nodes", watched)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 2, 80).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    assert seen and seen[0] and all(n > 1 for part in seen for _, n in part)
+
+
 def test_shingles_are_exchanged_once_and_joined_with_nothing(spark):
     members = spark.createDataFrame([(1, 1, 1), (2, 2, 2)], "rep long, home long, component long")
     sets = spark.createDataFrame([(1, [1, 2]), (2, [1, 2])], "doc_id long, members array<long>")

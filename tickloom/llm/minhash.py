@@ -114,11 +114,11 @@ def branch(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros(0, int), np.zeros(0, U64))
 
 
-_SPOT = "path long, up long, rep long, s0 long, s1 long, component long, home long"
+_SPOT = "path long, up long, rep long"
 
 
 def _paths(tree: int, levels: int):
-    """Rows of ``_SPOT`` for members (rep, s0, s1, sig, component, home): their nodes ``levels`` below the roots of a tree.
+    """Rows of ``_SPOT`` for members (rep, sig): their nodes ``levels`` below the roots of a tree.
 
     ``up`` is the node two levels above, or the root where there is none.
     """
@@ -126,8 +126,7 @@ def _paths(tree: int, levels: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            same = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                    for c in ("rep", "s0", "s1", "component", "home")}
+            rep = batch.column(batch.schema.get_field_index("rep")).to_numpy(zero_copy_only=False)
             raw = batch.column(batch.schema.get_field_index("sig")).to_pylist()
             for lo in range(0, len(raw), 2000):
                 sigs = np.frombuffer(b"".join(raw[lo:lo + 2000]), "<u4").reshape(-1, POSITIONS)
@@ -140,7 +139,7 @@ def _paths(tree: int, levels: int):
                     above, path = branch(path, sigs[row])
                     row = row[above]
                     up = path if level <= levels - 2 else up[above]
-                out = {"path": path.view(np.int64), "up": up.view(np.int64), **{c: v[lo:lo + n][row] for c, v in same.items()}}
+                out = {"path": path.view(np.int64), "up": up.view(np.int64), "rep": rep[lo:lo + n][row]}
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], names=list(out))
     return tidy(run)
 
@@ -158,6 +157,11 @@ def _close(a0, a1, b0, b1) -> Column:
     return F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) <= SKETCH_BITS
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids to be joined with wider rows: at most ``FEW_IDS`` are broadcast, so the wider rows stay where they are."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def full_sets(docs: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, members): the full sets of the documents of pairs (a, b), beside those already ``known``.
 
@@ -179,7 +183,7 @@ def full_sets(docs: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, shared): sizes and common shingles of the full sets of pairs (a, b). Other sets are not shuffled."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = sets.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+    sets = sets.join(_few(ids), "doc_id", "left_semi")
     both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b"))
     return stored(both.select("a", "b", F.size("ma").alias("na"), F.size("mb").alias("nb"),
@@ -264,14 +268,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = (feats.join(names.where("doc_id = rep").select("rep").distinct(), feats.doc_id == F.col("rep"))
                .select("rep", "s0", "s1", "sig").dropDuplicates(["rep"]))
     members = stored(members)
-    plain = members.withColumns({"component": F.col("rep"), "home": F.col("rep")})
-    spots = stored(plain.mapInArrow(_paths(0, 2), _SPOT))
-
-    nodes = (spots.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("top"),
-                                       F.min_by("s0", "rep").alias("t0"), F.min_by("s1", "rep").alias("t1"))
-             .where("n > 1"))
-    stars = spots.join(nodes, "path").where((F.col("rep") != F.col("top")) & _close("s0", "s1", "t0", "t1"))
-    pairs = stored(stars.select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct())
+    spots = stored(_met(members, 0, 2))
+
+    stars = spots.where("rep <> top").select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct()
+    for c in "ba":
+        stars = stars.join(members.select(F.col("rep").alias(c), F.col("s0").alias(c + "s0"), F.col("s1").alias(c + "s1")), c)
+    pairs = stored(stars.where(_close("as0", "as1", "bs0", "bs1")).select("a", "b"))
     sets = full_sets(docs, pairs, shingle)
     labels = components(_similar(measured(pairs, sets), percent))
     homes = components(pairs).select(F.col("id").alias("rep"), F.col("component").alias("home"))
@@ -281,20 +283,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     for tree in range(TREES):
         level, large = 2, None
         while True:
-            # labels and homes meet the members, one row each, before these are spread over their nodes
-            base = members if wide is None else members.join(wide, "rep")
-            rows = _placed(base, homes, labels).mapInArrow(_paths(tree, level), _SPOT)
-            if large is not None:
-                rows = rows.join(large.select(F.col("path").alias("up")), "up", "left_semi")
-            rows = stored(rows.drop("up"))
+            # members alone in a node go no further, so signatures are not exchanged and few rows meet labels and homes
+            if wide is not None:
+                spots = stored(_met(members, tree, level, large))
+            rows = stored(spots.drop("top").join(_placed(members.drop("sig"), homes, labels), "rep"))
             nodes = stored(_open_nodes(rows))
             last = level >= MAX_LEVELS
-            large = nodes.where(F.col("apart") > NODE_LIMIT).select("path")
+            large = _few(nodes.where(F.col("apart") > NODE_LIMIT).select("path"))
             pairs = _compare(rows.join(nodes.where(F.col("apart") <= NODE_LIMIT), "path"))
             if last and not large.isEmpty():
                 crowd = stored(rows.join(large, "path", "left_semi").select("rep").distinct())
                 sets = full_sets(docs, crowd.select(F.col("rep").alias("a"), F.col("rep").alias("b")), shingle, sets)
-                crowd = stored(_sharing(_placed(crowd, homes, labels), sets, percent))
+                wanted = sets.join(_few(crowd.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
+                crowd = stored(_sharing(_placed(crowd, homes, labels), wanted, percent))
                 pairs = pairs.union(_compare(rows.join(crowd, "rep", "left_semi").join(nodes.where(F.col("apart") > NODE_LIMIT), "path")))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
@@ -306,6 +307,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                     labels = _joined(labels, found)
             if wide is None:
                 wide = stored(rows.join(large, "path", "left_semi").select("rep").distinct())
+                members = stored(members.join(_few(wide), "rep", "left_semi"))
             if last or large.isEmpty() or wide.isEmpty():
                 break
             level += 2
@@ -331,6 +333,16 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.union(more.join(labels, "id", "left_anti").select("id", "component")))
 
 
+def _met(members: DataFrame, tree: int, level: int, large: DataFrame | None = None) -> DataFrame:
+    """(path, rep, top): the members of nodes with several, and the smallest of each; only of those below ``large`` nodes, if given."""
+    rows = members.select("rep", "sig").mapInArrow(_paths(tree, level), _SPOT)
+    if large is not None:
+        rows = rows.join(large.select(F.col("path").alias("up")), "up", "left_semi")
+    node = Window.partitionBy("path")
+    return (rows.select("path", "rep").withColumns({"n": F.count(F.lit(1)).over(node), "top": F.min("rep").over(node)})
+            .where("n > 1").drop("n"))
+
+
 def _placed(members: DataFrame, homes: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (rep ...) with their home and component; both are rep itself where there is none."""
     return (members.join(homes, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
